@@ -56,8 +56,13 @@ def clamp(c: Column, lo: float | None = FLOOR, hi: float | None = CEILING) -> Co
     return out if hi is None else F.least(F.lit(hi), out)
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Number as text with that many decimals, rounded from its exact binary value (ties to even)."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))
+
+
 def round4(c: Column) -> Column:
-    return F.round(c, 4)
+    return fixed(c, 4).cast("double")
 
 
 def truncate_marked(c: Column, limit: int = 50_000) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detect import contains_pii, find_matches, non_ssn_tokens
-from ..functions.rules import CORE, TOKENS, RuleSet, TokenRule
+from ..functions.rules import CORE, TOKENS, Rule, RuleSet, TokenRule
 from ..functions.text import is_blank, splitlines
 
 
@@ -25,16 +25,16 @@ def pii_spans(df: DataFrame, key: str, column: str, rules: RuleSet = CORE) -> Da
 
     All rules run in the same pass over the text.
     """
-    per_rule = (
-        F.transform(
+
+    def matches(rule: Rule):
+        return F.transform(
             find_matches(F.col(column), rule),
-            lambda m, i, name=rule.name: F.struct(
-                F.lit(name).alias("type"), (i + 1).cast("long").alias("ordinal"), m.alias("match")
+            lambda m, i: F.struct(
+                F.lit(rule.name).alias("type"), (i + 1).cast("long").alias("ordinal"), m.alias("match")
             ),
         )
-        for rule in rules
-    )
-    return df.select(key, F.inline(F.concat(*per_rule)))
+
+    return df.select(key, F.inline(F.concat(*map(matches, rules))))
 
 
 def text_lines(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import one_line_preview
+from ..functions.text import fixed, one_line_preview
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -49,18 +49,20 @@ def start_line(task: Column, env: Column, model: Column) -> Column:
 def step_line(step: Column, action: Column, reward: Column, done: Column, error: Column) -> Column:
     shown_error = F.when(F.coalesce(error, F.lit("")) == "", F.lit("null")).otherwise(error)
     return F.format_string(
-        "[STEP] step=%d action=%s reward=%.2f done=%s error=%s",
+        "[STEP] step=%d action=%s reward=%s done=%s error=%s",
         step,
         one_line_preview(action),
-        F.coalesce(reward, F.lit(0.0)),
+        fixed(F.coalesce(reward, F.lit(0.0)), 2),
         done.cast("string"),
         shown_error,
     )
 
 
 def end_line(success: Column, steps: Column, score: Column, rewards: Column) -> Column:
-    shown = F.array_join(F.transform(rewards, lambda r: F.format_string("%.2f", r)), ",")
-    return F.format_string("[END] success=%s steps=%d score=%.3f rewards=%s", success.cast("string"), steps, score, shown)
+    shown = F.array_join(F.transform(rewards, lambda r: fixed(r, 2)), ",")
+    return F.format_string(
+        "[END] success=%s steps=%d score=%s rewards=%s", success.cast("string"), steps, fixed(score, 3), shown
+    )
 
 
 def run_log_lines(steps: DataFrame, episodes: DataFrame, episode: str, env: str, model: str) -> DataFrame:
