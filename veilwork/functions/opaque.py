@@ -62,4 +62,5 @@ def mask_variant(doc: Column, rules: RuleSet = CORE, only: str | None = None) ->
 
         return texts.map(one)
 
-    return run(doc.cast("string"))
+    # Not merged into the expressions that read it, or it would run once for each of them.
+    return run.asNondeterministic()(doc.cast("string"))

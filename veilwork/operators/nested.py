@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,6 @@ NODE_TYPE = "array<struct<path:string,value:string,is_key:boolean,is_text:boolea
 
 # A key that a path string cannot address: empty, all digits, with a dot or an index.
 _ODD_KEY = re.compile(r"^$|^\d+$|\.|\[\d+\]")
-_ODD_KEY_SQL = r"^$|^\d+$|\.|\[\d+\]"
 
 
 def clean_names(dtype: T.DataType) -> bool:
@@ -36,84 +36,108 @@ def clean_names(dtype: T.DataType) -> bool:
 
 @dataclass(frozen=True)
 class _Place:
-    """Where a value sits: its path, and whether that path leads back to it."""
+    """Where a value sits.
 
-    path: Column
-    addressable: Column
-    is_root: bool = False
+    ``parts`` are the pieces of its path as SQL expressions, literals merged;
+    ``checks`` are conditions under which the path leads back to the value.
+    """
+
+    parts: tuple[str, ...] = ()
+    checks: tuple[str, ...] = ()
     is_key: bool = False
 
-    def field(self, name: str) -> _Place:
-        path = F.lit(name) if self.is_root else F.when(self.path == "", F.lit(name)).otherwise(
-            F.concat(self.path, F.lit("." + name))
-        )
-        return _Place(path, self.addressable & F.lit(not _ODD_KEY.search(name)), is_key=True)
+    @property
+    def path(self) -> str:
+        return f"concat({', '.join(self.parts)})" if len(self.parts) > 1 else "".join(self.parts) or "''"
 
-    def entry(self, key: Column) -> _Place:
-        path = F.when(self.path == "", key).otherwise(F.concat(self.path, F.lit("."), key))
-        return _Place(path, self.addressable & ~key.rlike(_ODD_KEY_SQL), is_key=True)
+    @property
+    def addressable(self) -> str:
+        return " and ".join(self.checks) or "true"
 
-    def item(self, index: Column) -> _Place:
-        return _Place(F.concat(self.path, F.lit("["), index.cast("string"), F.lit("]")), self.addressable)
+    def _under(self) -> tuple[str, ...]:
+        """Pieces in front of a key; without a dot as long as the path is empty."""
+        if not self.parts:
+            return ()
+        if any(p.startswith("'") and p != "''" for p in self.parts):
+            return _joined(self.parts, "'.'")
+        return (f"case when {self.path} = '' then '' else concat({self.path}, '.') end",)
 
+    def field(self, name: str) -> _Place:
+        checks = self.checks + (("false",) if _ODD_KEY.search(name) else ())
+        return _Place(_joined(self._under(), _text(name)), checks, is_key=True)
 
-def _nothing() -> Column:
-    return F.array().cast(NODE_TYPE)
+    def entry(self, key: str) -> _Place:
+        odd = f"not rlike({key}, {_text(_ODD_KEY.pattern)})"
+        return _Place((*self._under(), key), (*self.checks, odd), is_key=True)
 
+    def item(self, index: str) -> _Place:
+        return _Place((*_joined(self.parts, "'['"), index, "']'"), self.checks)
 
-def _node(c: Column, dtype: T.DataType, at: _Place) -> Column:
-    """The value itself, as an array of at most one node."""
-    text = isinstance(dtype, T.StringType)
-    if not (at.is_key or text):
-        return _nothing()
-    node = F.array(
-        F.struct(
-            at.path.alias("path"),
-            (c if text else F.lit(None).cast("string")).alias("value"),
-            F.lit(at.is_key).alias("is_key"),
-            (c.isNotNull() if text else F.lit(False)).alias("is_text"),
-            at.addressable.alias("addressable"),
-        )
-    ).cast(NODE_TYPE)
-    return node if at.is_key else F.when(c.isNotNull(), node).otherwise(_nothing())
-
-
-def _children(c: Column, dtype: T.DataType, at: _Place) -> Column | None:
-    if isinstance(dtype, T.StructType):
-        parts = [nodes for f in dtype.fields for nodes in _parts(c.getField(f.name), f.dataType, at.field(f.name))]
-        return F.concat(*parts) if parts else None
-    if isinstance(dtype, T.ArrayType):
-        return F.flatten(F.transform(c, lambda x, i: _walk(x, dtype.elementType, at.item(i))))
-    if isinstance(dtype, T.MapType):
-        return F.flatten(
-            F.transform(F.map_entries(c), lambda e: _walk(e["value"], dtype.valueType, at.entry(e["key"])))
-        )
-    return None
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _parts(c: Column, dtype: T.DataType, at: _Place) -> list[Column]:
-    below = _children(c, dtype, at)
-    parts = [_node(c, dtype, at)]
-    if below is not None:
-        parts.append(F.when(c.isNotNull(), below).otherwise(_nothing()))
-    return parts
 
+def _joined(parts: tuple[str, ...], literal: str) -> tuple[str, ...]:
+    if parts and parts[-1].startswith("'"):
+        return (*parts[:-1], parts[-1][:-1] + literal[1:])
+    return (*parts, literal)
 
-def _walk(c: Column, dtype: T.DataType, at: _Place) -> Column:
-    return F.concat(*_parts(c, dtype, at))
 
+_NOTHING = f"cast(array() as {NODE_TYPE})"
 
-def node_array(c: Column, dtype: T.DataType) -> Column:
+
+def _node(e: str, dtype: T.DataType, at: _Place) -> str:
+    text = isinstance(dtype, T.StringType)
+    return (
+        f"named_struct('path', {at.path}, 'value', {e if text else 'cast(null as string)'}, 'is_key', {str(at.is_key).lower()},"
+        f" 'is_text', {f'{e} is not null' if text else 'false'}, 'addressable', {at.addressable})"
+    )
+
+
+def _collected(items: list[tuple[bool, str]]) -> str:
+    """One array of ``(is it a single node?, expression)`` items, in order."""
+    arrays: list[str] = []
+    for single, group in groupby(items, key=lambda item: item[0]):
+        found = [expression for _, expression in group]
+        arrays += [f"array({', '.join(found)})"] if single else found
+    return f"concat({', '.join(arrays)})" if len(arrays) != 1 else arrays[0]
+
+
+def _walk(e: str, dtype: T.DataType, at: _Place, depth: int = 0) -> list[tuple[bool, str]]:
+    """The nodes of a value and of everything below it, as SQL."""
+    items: list[tuple[bool, str]] = []
+    if at.is_key:
+        items.append((True, _node(e, dtype, at)))
+    elif isinstance(dtype, T.StringType):
+        items.append((False, f"case when {e} is null then {_NOTHING} else array({_node(e, dtype, at)}) end"))
+    below = None
+    if isinstance(dtype, T.StructType):
+        below = [i for f in dtype.fields for i in _walk(f"{e}.`{f.name}`", f.dataType, at.field(f.name), depth)]
+    elif isinstance(dtype, T.ArrayType):
+        x, i = f"x{depth}", f"i{depth}"
+        inner = _walk(x, dtype.elementType, at.item(i), depth + 1)
+        below = [(False, f"flatten(transform({e}, ({x}, {i}) -> {_collected(inner)}))")] if inner else None
+    elif isinstance(dtype, T.MapType):
+        x = f"x{depth}"
+        inner = _walk(f"{x}.value", dtype.valueType, at.entry(f"{x}.key"), depth + 1)
+        below = [(False, f"flatten(transform(map_entries({e}), {x} -> {_collected(inner)}))")]
+    if below:
+        items.append((False, f"case when {e} is null then {_NOTHING} else {_collected(below)} end"))
+    return items
+
+
+def node_array(column: str, dtype: T.DataType) -> Column:
     """All nodes of a typed document as one array column.
 
     A null field keeps its key path, as a JSON null does, and has no leaf.
     """
-    return _walk(c, dtype, _Place(F.lit(""), F.lit(True), is_root=True))
+    items = _walk(f"`{column}`", dtype, _Place())
+    return F.expr(_collected(items) if items else _NOTHING)
 
 
 def _typed_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
-    dtype = docs.schema[column].dataType
-    return docs.select(F.col(key), F.inline(node_array(F.col(f"`{column}`"), dtype)))
+    return docs.select(F.col(key), F.inline(node_array(column, docs.schema[column].dataType)))
 
 
 # Recursion settings of the session; the default row cap would fail large inputs.
@@ -146,7 +170,7 @@ def _variant_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
         from walk where is_key or kind = 'STRING'
     """
     parsed = docs.select(F.col(key).alias("doc"), as_variant(docs, column).alias("v"))
-    return spark.sql(walk, args={"odd": _ODD_KEY_SQL}, docs=parsed).withColumnRenamed("doc", key)
+    return spark.sql(walk, args={"odd": _ODD_KEY.pattern}, docs=parsed).withColumnRenamed("doc", key)
 
 
 def as_variant(docs: DataFrame, column: str) -> Column:
@@ -155,11 +179,18 @@ def as_variant(docs: DataFrame, column: str) -> Column:
     return c if isinstance(docs.schema[column].dataType, T.VariantType) else F.try_parse_json(c)
 
 
+def is_malformed(docs: DataFrame, column: str) -> Column:
+    """True for text that is not JSON and for documents a reader could not parse."""
+    text = isinstance(docs.schema[column].dataType, T.StringType)
+    return (as_variant(docs, column) if text else F.col(f"`{column}`")).isNull()
+
+
 def json_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, path, value, is_key, is_text, addressable)``: every key and every string of each document.
 
     One walk yields both relations.  ``column`` may be a struct, map or array (unrolled
-    by its schema), a variant, or JSON text.
+    by its schema), a variant, or JSON text.  The recursive walk of the last two cannot
+    start from a column that a Python function makes; write such a frame first.
     """
     if isinstance(docs.schema[column].dataType, (T.StringType, T.VariantType)):
         return _variant_nodes(docs, key, column)

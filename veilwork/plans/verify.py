@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.detect import contains_pii, count_cc, count_pii, line_format_ok
+from ..functions.detect import count_cc, count_pii, line_format_ok
 from ..functions.rules import CORE, SSN_ONLY, TOKENS, RuleSet, TokenRule
 from ..functions.text import CEILING, FLOOR, clamp, nonblank_lines, round4, safe_ratio, strip
 from ..operators import align
-from ..operators.nested import as_variant, clean_names, json_nodes, node_array
+from ..operators.nested import clean_names, is_malformed, json_nodes, lookup_path, node_array
 from ..operators.runs import TASKS
 from ..sources.readers import CORRUPT, path_exists, read_json_docs, read_table_csv, read_text
 
@@ -214,15 +214,7 @@ def _json_result(counts: DataFrame, key: str) -> DataFrame:
 
 def _doc_measures(docs: DataFrame, key: str, column: str, rules: RuleSet, side: str) -> DataFrame:
     """Per document: matches, key paths, and the leaves without personal data as ``path NUL text``."""
-    nodes = F.transform(
-        node_array(F.col(f"`{column}`"), docs.schema[column].dataType),
-        lambda n: F.struct(
-            n["path"].alias("path"),
-            n["is_key"].alias("is_key"),
-            n["is_text"].alias("is_text"),
-            n["value"].alias("value"),
-        ),
-    )
+    nodes = node_array(column, docs.schema[column].dataType)
     leaf = lambda n: F.concat(n["path"], F.lit("\0"), strip(n["value"]))
     texts = F.filter("nodes", lambda n: n["is_text"])
     measured = docs.select(F.col(key), F.col(f"`{column}`").isNull().alias(f"{side}_null"), nodes.alias("nodes"))
@@ -265,53 +257,63 @@ def _validate_documents(baseline: DataFrame, candidate: DataFrame, key: str, col
     return _json_result(counts, key)
 
 
-def _validate_leaves(baseline: DataFrame, candidate: DataFrame, key: str, column: str, rules: RuleSet) -> DataFrame:
-    """Documents of any shape: leaves and paths as rows, spread over all tasks by ``(key, path)``."""
-    b_nodes, c_nodes = json_nodes(baseline, key, column), json_nodes(candidate, key, column)
-
-    def leaves(nodes: DataFrame) -> DataFrame:
-        v = F.col("value")
-        return nodes.filter("is_text").select(
-            key, "path", "addressable", strip(v).alias("value"), count_pii(v, rules).alias("n_pii"),
-            contains_pii(v, rules).alias("has_pii"),
-        )
-
-    def matches(nodes: DataFrame, name: str) -> DataFrame:
-        return leaves(nodes).groupBy(key).agg(F.sum("n_pii").alias(name))
-
-    keys = lambda nodes: nodes.filter("is_key").select(key, "path")
-    overlap = align.overlap_counts(keys(b_nodes), keys(c_nodes), key, "path", "n_paths", "n_common")
-    looked_up = align.lookup_leaves(
-        leaves(b_nodes).filter("not has_pii").select(key, "path", "value", "addressable"),
-        leaves(c_nodes).select(key, "path", "value", "addressable"),
-        key,
-    )
-    kept = looked_up.groupBy(key).agg(
-        F.count("*").alias("n_values"),
-        F.count_if(F.col("value") == F.col("found")).alias("n_preserved"),
-    )
-    doc_state = lambda df, name: df.select(
-        key, F.when(as_variant(df, column).isNull(), "malformed").otherwise("ok").alias(name)
+_LEAF_SUMS = ("key_b", "key_c", "clean_b", "found_c", "pii_b", "pii_c", "seen_b", "seen_c", "bad")
+
+
+def _leaf_rows(docs: DataFrame, key: str, column: str, rules: RuleSet, side: str) -> DataFrame:
+    """Key paths, leaves and one marker row per document as ``(key, at, text, counts...)``.
+
+    Baseline leaves stand where the candidate is looked up; candidate leaves stand where
+    they can be found.
+    """
+    v, path, one = F.col("value"), F.col("path"), F.lit(1).cast("long")
+
+    def row(at: Column, text: Column, **counts: Column) -> Column:
+        sums = (counts.get(n, F.lit(0).cast("long")).alias(n) for n in _LEAF_SUMS)
+        return F.struct(at.alias("at"), text.alias("text"), *sums)
+
+    nothing = F.lit(None).cast("string")
+    n_pii = count_pii(v, rules)
+    if side == "b":
+        clean = (n_pii == 0).cast("long")
+        leaf = row(lookup_path(path, F.col("addressable")), strip(v), clean_b=clean, pii_b=n_pii)
+        name = row(path, nothing, key_b=one)
+    else:
+        leaf = row(path, strip(v), found_c=F.col("addressable").cast("long"), pii_c=n_pii)
+        name = row(path, nothing, key_c=one)
+    present = F.filter(
+        F.array(F.when(F.col("is_key"), name), F.when(F.col("is_text"), leaf)), lambda r: r.isNotNull()
     )
-    if not isinstance(baseline.schema[column].dataType, (T.StringType, T.VariantType)):
-        doc_state = lambda df, name: df.select(
-            key, F.when(F.col(column).isNull(), "malformed").otherwise("ok").alias(name)
-        )
-    joined = (
-        doc_state(baseline, "b_state")
-        .join(doc_state(candidate, "c_state"), key, "left")
-        .join(matches(b_nodes, "baseline_matches"), key, "left")
-        .join(matches(c_nodes, "candidate_matches"), key, "left")
-        .join(overlap, key, "left")
-        .join(kept, key, "left")
+    nodes = json_nodes(docs, key, column).select(F.col(key).alias("key"), F.inline(present))
+    broken = is_malformed(docs, column).cast("long")
+    marker = row(nothing, nothing, **{f"seen_{side}": one, "bad": broken})
+    return nodes.unionAll(docs.select(F.col(key).alias("key"), F.inline(F.array(marker))))
+
+
+def _validate_leaves(baseline: DataFrame, candidate: DataFrame, key: str, column: str, rules: RuleSet) -> DataFrame:
+    """Documents of any shape: leaves and paths as rows.
+
+    Each side is walked once.  Grouping by ``(key, path, text)`` spreads even a single huge
+    document over all tasks, and only counts go on to the grouping by document.
+    """
+    both = _leaf_rows(baseline, key, column, rules, "b").unionAll(_leaf_rows(candidate, key, column, rules, "c"))
+    places = both.groupBy("key", "at", "text").agg(*(F.sum(n).alias(n) for n in _LEAF_SUMS))
+    n = F.col
+    docs = places.groupBy("key").agg(
+        F.sum("pii_b").alias("baseline_matches"),
+        F.sum("pii_c").alias("candidate_matches"),
+        F.count_if(n("key_b") > 0).alias("n_paths"),
+        F.count_if((n("key_b") > 0) & (n("key_c") > 0)).alias("n_common"),
+        F.sum("clean_b").alias("n_values"),
+        F.sum(F.when(n("found_c") > 0, n("clean_b")).otherwise(0)).alias("n_preserved"),
+        F.sum("seen_b").alias("seen_b"),
+        F.sum("seen_c").alias("seen_c"),
+        F.sum("bad").alias("bad"),
     )
-    counts = joined.select(
-        key,
-        *(_zero(F.col(n)).alias(n) for n in JSON_COUNTS),
-        _status(
-            (F.col("c_state").isNull(), "missing"),
-            ((F.col("b_state") != "ok") | (F.col("c_state") != "ok"), "malformed"),
-        ).alias("status"),
+    counts = docs.filter("seen_b > 0").select(
+        F.col("key").alias(key),
+        *JSON_COUNTS,
+        _status((n("seen_c") == 0, "missing"), (n("bad") > 0, "malformed")).alias("status"),
     )
     return _json_result(counts, key)
 
