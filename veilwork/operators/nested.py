@@ -136,8 +136,9 @@ def node_array(column: str, dtype: T.DataType) -> Column:
     return F.expr(_collected(items) if items else _NOTHING)
 
 
-def _typed_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
-    return docs.select(F.col(key), F.inline(node_array(column, docs.schema[column].dataType)))
+def _typed_nodes(docs: DataFrame, key: str, column: str, only: str | None) -> DataFrame:
+    nodes = node_array(column, docs.schema[column].dataType)
+    return docs.select(F.col(key), F.inline(nodes if only is None else F.filter(nodes, lambda node: node[only])))
 
 
 # Recursion settings of the session; the default row cap would fail large inputs.
@@ -185,26 +186,28 @@ def is_malformed(docs: DataFrame, column: str) -> Column:
     return (as_variant(docs, column) if text else F.col(f"`{column}`")).isNull()
 
 
-def json_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
+def json_nodes(docs: DataFrame, key: str, column: str, only: str | None = None) -> DataFrame:
     """``(key, path, value, is_key, is_text, addressable)``: every key and every string of each document.
 
     One walk yields both relations.  ``column`` may be a struct, map or array (unrolled
     by its schema), a variant, or JSON text.  The recursive walk of the last two cannot
     start from a column that a Python function makes; write such a frame first.
+    ``only`` keeps the nodes with that flag.
     """
     if isinstance(docs.schema[column].dataType, (T.StringType, T.VariantType)):
-        return _variant_nodes(docs, key, column)
-    return _typed_nodes(docs, key, column)
+        nodes = _variant_nodes(docs, key, column)
+        return nodes if only is None else nodes.filter(only)
+    return _typed_nodes(docs, key, column, only)
 
 
 def json_leaves(docs: DataFrame, key: str, column: str) -> DataFrame:
     """String leaves ``(key, path, value, addressable)``; other scalars are left out."""
-    return json_nodes(docs, key, column).filter("is_text").select(key, "path", "value", "addressable")
+    return json_nodes(docs, key, column, "is_text").select(key, "path", "value", "addressable")
 
 
 def json_key_paths(docs: DataFrame, key: str, column: str) -> DataFrame:
     """Distinct paths of object keys at every depth ``(key, path)``."""
-    paths = json_nodes(docs, key, column).filter("is_key").select(key, "path")
+    paths = json_nodes(docs, key, column, "is_key").select(key, "path")
     dtype = docs.schema[column].dataType
     if not isinstance(dtype, (T.StringType, T.VariantType)) and clean_names(dtype):
         return paths
