@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rules import CORE, RuleSet
@@ -35,32 +35,33 @@ def _rewrite(value: Any, fn: Callable[[str], str]) -> Any:
     return value
 
 
-def mask_variant(doc: Column, rules: RuleSet = CORE, only: str | None = None) -> Column:
-    """Mask every string value of JSON text (or of a variant cast to string); NULL if malformed.
+def mask_variant(df: DataFrame, column: str, rules: RuleSet = CORE, only: str | None = None) -> DataFrame:
+    """Mask every string value of a column of JSON text or variants; NULL where malformed.
 
     Spark cannot rebuild a document of unknown shape from its parts, so this is the one
-    masking function that runs in Python, on Arrow batches.  ``only`` restricts it to one
-    top-level key.  Use ``mask_struct`` wherever there is a schema.
+    masking function that runs in Python, on Arrow batches.  All columns of ``df`` pass
+    through it: select the ones that are needed first.  ``only`` restricts the masking to
+    one top-level key.  Use ``mask_struct`` wherever there is a schema.
     """
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    def one(text: str | None, fn: Callable[[str], str]) -> str | None:
+        if text is None:
+            return None
+        try:
+            value = json.loads(text)
+        except ValueError:
+            return None
+        if only is None:
+            value = _rewrite(value, fn)
+        elif isinstance(value, dict) and only in value:
+            value[only] = _rewrite(value[only], fn)
+        return json.dumps(value, ensure_ascii=False)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = _masker(rules)
+        for rows in batches:
+            rows[column] = [one(text, fn) for text in rows[column]]
+            yield rows
 
-        def one(text: str | None) -> str | None:
-            try:
-                value = json.loads(text) if text is not None else None
-            except ValueError:
-                return None
-            if text is None:
-                return None
-            if only is None:
-                value = _rewrite(value, fn)
-            elif isinstance(value, dict) and only in value:
-                value[only] = _rewrite(value[only], fn)
-            return json.dumps(value, ensure_ascii=False)
-
-        return texts.map(one)
-
-    # Not merged into the expressions that read it, or it would run once for each of them.
-    return run.asNondeterministic()(doc.cast("string"))
+    as_text = df.withColumn(column, F.col(column).cast("string"))
+    return as_text.mapInPandas(run, as_text.schema)

@@ -149,7 +149,7 @@ def mask_json_text(spark, sf):
 @query
 def mask_variant(spark, sf):
     docs = inputs.records(spark, sf)
-    masked = docs.select("id", mask_unknown(writers.json_text(docs, "doc")).alias("doc"))
+    masked = mask_unknown(docs.select("id", writers.json_text(docs, "doc").alias("doc")), "doc")
     typed = masked.select("id", F.from_json("doc", docs.schema["doc"].dataType).alias("doc"))
     return nested.json_leaves(typed, "id", "doc").select("id", "path", "value")
 
