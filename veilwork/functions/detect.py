@@ -13,7 +13,10 @@ from .rules import CARD_TABLE, CHAT_LINE_PATTERN, CORE, SSN, TOKENS, Rule, RuleS
 
 def count_matches(c: Column, rule: Rule) -> Column:
     """Number of non-overlapping matches; 0 for NULL."""
-    return F.coalesce(F.regexp_count(c, F.lit(rule.regex)), F.lit(0)).cast("long")
+    found = F.coalesce(F.regexp_count(c, F.lit(rule.counting_regex)), F.lit(0)).cast("long")
+    if rule.needs is None or rule.tally is not None:
+        return found
+    return F.when(F.contains(c, F.lit(rule.needs)), found).otherwise(F.lit(0).cast("long"))
 
 
 def count_pii(c: Column, rules: RuleSet = CORE) -> Column:
@@ -31,11 +34,14 @@ def count_by_type(c: Column, rules: RuleSet = CORE, prefix: str = "n_") -> list[
 
 
 def contains_pii(c: Column, rules: RuleSet = CORE) -> Column:
-    return F.coalesce(reduce(or_, (c.rlike(r.regex) for r in rules)), F.lit(False))
+    return F.coalesce(reduce(or_, (c.rlike(r.counting_regex) for r in rules)), F.lit(False))
 
 
 def find_matches(c: Column, rule: Rule) -> Column:
-    return F.regexp_extract_all(c, F.lit(rule.regex), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(rule.regex), F.lit(0))
+    if rule.needs is None:
+        return found
+    return F.when(~F.contains(c, F.lit(rule.needs)), F.array().cast("array<string>")).otherwise(found)
 
 
 def find_ssns(c: Column) -> Column:

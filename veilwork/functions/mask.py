@@ -18,13 +18,20 @@ def _replacement(mask: str) -> str:
     return re.sub(r"([\\$])", r"\\\1", mask)
 
 
-def _apply(c: Column, rule: Rule) -> Column:
-    return F.regexp_replace(c, rule.regex, _replacement(rule.mask))
+def mask(c: Column, rules: RuleSet = CORE, passes: int = 1) -> Column:
+    """Replace every match, rule after rule.  Extra passes catch what masking itself uncovers.
 
+    Masks add none of the texts that rules need, so the untouched column can tell whether
+    a rule has anything to do.
+    """
 
-def mask(c: Column, rules: RuleSet = CORE, passes: int = 1) -> Column:
-    """Replace every match, rule after rule.  Extra passes catch what masking itself uncovers."""
-    return reduce(_apply, [r for _ in range(passes) for r in rules], c)
+    def apply(masked: Column, rule: Rule) -> Column:
+        replaced = F.regexp_replace(masked, rule.regex, _replacement(rule.mask))
+        if rule.needs is None or any(rule.needs in r.mask for r in rules):
+            return replaced
+        return F.when(F.contains(c, F.lit(rule.needs)), replaced).otherwise(masked)
+
+    return reduce(apply, [r for _ in range(passes) for r in rules], c)
 
 
 def mask_cc(c: Column) -> Column:

@@ -33,29 +33,44 @@ GENERIC_MASK = "[REDACTED]"
 PROTECTED_COLUMNS = ("id", "first_name", "last_name", "address")
 # ---------------------------------------------------------------------------
 
-# The e-mail pattern retries at every character of a long word.  Entering a run
-# of local-part characters only at its start (or right after the previous match)
-# finds the same matches, because ``@`` cannot be part of the run.
-_EMAIL_SCAN = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+# The e-mail pattern retries at every character of every word, which makes it several
+# times as slow as the others.  Two forms do the same work faster.  The first enters a
+# run of local-part characters only at its start or right after the previous match, and
+# finds the same texts, because ``@`` cannot be part of the run.  The second looks at each
+# ``@`` and finds as many: one local-part character before it is enough, unless that
+# character belongs to the previous match.
+_EMAIL_RUNS = r"(?:(?<![a-zA-Z0-9._%+-])|\G)[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_EMAIL_SIGNS = r"@(?<=[a-zA-Z0-9._%+-]@)(?<!\G@)[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
 @dataclass(frozen=True)
 class Rule:
     """One kind of personal data.
 
-    ``scan`` is an equivalent pattern that is cheaper to run; ``unicode`` makes
-    digits, spaces and word boundaries follow Unicode rather than ASCII.
+    Three optional hints make a rule cheaper without changing its result: ``scan`` is a
+    pattern with the same matches, ``tally`` one with the same number of matches, and
+    ``needs`` a text without which there is no match.  ``unicode`` makes digits, spaces
+    and word boundaries follow Unicode rather than ASCII.
     """
 
     name: str
     pattern: str
     mask: str = GENERIC_MASK
     scan: str | None = None
+    tally: str | None = None
+    needs: str | None = None
     unicode: bool = False
 
+    def _flagged(self, pattern: str) -> str:
+        return ("(?U)" if self.unicode else "") + pattern
+
     @property
     def regex(self) -> str:
-        return ("(?U)" if self.unicode else "") + (self.scan or self.pattern)
+        return self._flagged(self.scan or self.pattern)
+
+    @property
+    def counting_regex(self) -> str:
+        return self._flagged(self.tally or self.scan or self.pattern)
 
 
 @dataclass(frozen=True)
@@ -96,7 +111,7 @@ class RuleSet:
 CARD = Rule("credit_card", CARD_PATTERN, CARD_MASK)
 CARD16 = Rule("card16", CARD16_PATTERN, CARD_MASK)
 SSN = Rule("ssn", SSN_PATTERN, SSN_MASK)
-EMAIL = Rule("email", EMAIL_PATTERN, EMAIL_MASK, scan=_EMAIL_SCAN)
+EMAIL = Rule("email", EMAIL_PATTERN, EMAIL_MASK, scan=_EMAIL_RUNS, tally=_EMAIL_SIGNS, needs="@")
 PHONE = Rule("phone", PHONE_PATTERN, PHONE_MASK)
 
 # Masking order matters: a phone rule run first would eat the tail of a card.
@@ -109,7 +124,7 @@ VARIANT = RuleSet(
     (
         Rule("credit_card", CARD_PATTERN),
         Rule("ssn", SSN_PATTERN),
-        Rule("email", BOUNDED_EMAIL_PATTERN),
+        Rule("email", BOUNDED_EMAIL_PATTERN, needs="@"),
         Rule("phone", US_PHONE_PATTERN),
     )
 )

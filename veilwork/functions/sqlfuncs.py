@@ -15,12 +15,13 @@ def _mask_body(rules: RuleSet) -> str:
     body = "s"
     for rule in rules:
         mask = rule.mask.replace("\\", "\\\\").replace("$", "\\$")
-        body = f"regexp_replace({body}, {_literal(rule.regex)}, {_literal(mask)})"
+        replaced = f"regexp_replace({body}, {_literal(rule.regex)}, {_literal(mask)})"
+        body = replaced if rule.needs is None else f"if(contains(s, {_literal(rule.needs)}), {replaced}, {body})"
     return body
 
 
 def _count_body(rules: RuleSet) -> str:
-    return " + ".join(f"cast(regexp_count(s, {_literal(r.regex)}) as bigint)" for r in rules)
+    return " + ".join(f"cast(regexp_count(s, {_literal(r.counting_regex)}) as bigint)" for r in rules)
 
 
 def register(spark: SparkSession, rules: RuleSet = CORE, suffix: str = "all") -> None:
@@ -28,7 +29,7 @@ def register(spark: SparkSession, rules: RuleSet = CORE, suffix: str = "all") ->
 
     They are SQL functions, not UDFs: the optimizer inlines their bodies.
     """
-    contains = " or ".join(f"rlike(s, {_literal(r.regex)})" for r in rules)
+    contains = " or ".join(f"rlike(s, {_literal(r.counting_regex)})" for r in rules)
     bodies = {
         f"mask_{suffix}": ("string", _mask_body(rules)),
         f"count_{suffix}": ("bigint", _count_body(rules)),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import contains_pii, count_by_type, count_matches, count_pii
 from ..functions.rules import CORE, RuleSet
-from ..functions.text import clamp, safe_ratio
+from ..functions.text import clamp, round4, safe_ratio
 from .rows import pii_spans
 
 
@@ -43,7 +43,7 @@ def removal_summary(df: DataFrame, before: str, after: str, by: list[str], rules
     sums = counted.groupBy(*by).agg(F.count("*").alias("n_rows"), *(F.sum(n).alias(n) for n in names))
     total = lambda side: reduce(add, (F.col(f"{side}_{r.name}") for r in rules))
     removal = clamp(F.lit(1.0) - safe_ratio(total("after"), total("before"), 0.0), 0.0, None)
-    return sums.withColumn("removal", F.round(removal, 4))
+    return sums.withColumn("removal", round4(removal))
 
 
 def dataset_summary(df: DataFrame, key: str, column: str, rules: RuleSet = CORE) -> DataFrame:

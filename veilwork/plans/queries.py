@@ -11,7 +11,7 @@ from ..functions import detect, mask, replies, sqlfuncs, text
 from ..functions.opaque import mask_variant as mask_unknown
 from ..functions.rules import CORE, GENERIC_MASK, VARIANT
 from ..operators import aggregate, align, nested, rows, runs, windows
-from ..session import scratch_dir, table, tune
+from ..session import scratch_dir, spread, table, tune
 from ..sources import generate, readers, writers
 from ..streaming import streams
 from . import inputs, verify
@@ -29,58 +29,62 @@ def query(fn: Query) -> Query:
     return run
 
 
+def _texts(spark, sf, name, key):
+    return spread(table(spark, sf, name), key)
+
+
 # ------------------------------------------------------------------ detection
 
 
 @query
 def pii_count_by_type(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", *detect.count_by_type(t), detect.count_pii(t).alias("n_pii"))
+    return _texts(spark, sf, "documents", "doc_id").select("doc_id", *detect.count_by_type(t), detect.count_pii(t).alias("n_pii"))
 
 
 @query
 def pii_rows(spark, sf):
-    return rows.filter_pii_rows(table(spark, sf, "documents"), "text").select("doc_id", "source")
+    return rows.filter_pii_rows(_texts(spark, sf, "documents", "doc_id"), "text").select("doc_id", "source")
 
 
 @query
 def clean_rows(spark, sf):
-    return rows.filter_clean(table(spark, sf, "pages"), "html").select("page_id", "url")
+    return rows.filter_clean(_texts(spark, sf, "pages", "page_id"), "html").select("page_id", "url")
 
 
 @query
 def pii_spans(spark, sf):
-    return rows.pii_spans(table(spark, sf, "documents"), "doc_id", "text")
+    return rows.pii_spans(_texts(spark, sf, "documents", "doc_id"), "doc_id", "text")
 
 
 @query
 def span_counts(spark, sf):
-    return aggregate.span_counts(table(spark, sf, "pages"), "page_id", "html")
+    return aggregate.span_counts(_texts(spark, sf, "pages", "page_id"), "page_id", "html")
 
 
 @query
 def cc_double_count(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", detect.count_cc(F.col("text")).alias("n_cc"))
+    return _texts(spark, sf, "documents", "doc_id").select("doc_id", detect.count_cc(F.col("text")).alias("n_cc"))
 
 
 @query
 def total_matches_by_lang(spark, sf):
-    return aggregate.total_matches(table(spark, sf, "documents"), ["text", "source"], CORE, ["lang"])
+    return aggregate.total_matches(_texts(spark, sf, "documents", "doc_id"), ["text", "source"], CORE, ["lang"])
 
 
 @query
 def pii_summary_by_source(spark, sf):
-    return aggregate.pii_summary(table(spark, sf, "documents"), "text", ["source", "lang"])
+    return aggregate.pii_summary(_texts(spark, sf, "documents", "doc_id"), "text", ["source", "lang"])
 
 
 @query
 def dataset_summary(spark, sf):
-    return aggregate.dataset_summary(table(spark, sf, "documents"), "doc_id", "text")
+    return aggregate.dataset_summary(_texts(spark, sf, "documents", "doc_id"), "doc_id", "text")
 
 
 @query
 def variant_count_by_type(spark, sf):
-    return table(spark, sf, "pages").select("page_id", *detect.count_by_type(F.col("html"), VARIANT))
+    return _texts(spark, sf, "pages", "page_id").select("page_id", *detect.count_by_type(F.col("html"), VARIANT))
 
 
 # -------------------------------------------------------------------- masking
@@ -88,13 +92,13 @@ def variant_count_by_type(spark, sf):
 
 @query
 def mask_documents_typed(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", mask.mask_all(F.col("text")).alias("masked"))
+    return _texts(spark, sf, "documents", "doc_id").select("doc_id", mask.mask_all(F.col("text")).alias("masked"))
 
 
 @query
 def mask_pages_generic(spark, sf):
     masked = mask.mask_generic(F.col("html"), VARIANT.masked_as(GENERIC_MASK))
-    return table(spark, sf, "pages").select("page_id", masked.alias("masked"))
+    return _texts(spark, sf, "pages", "page_id").select("page_id", masked.alias("masked"))
 
 
 @query
@@ -106,7 +110,7 @@ def mask_customers(spark, sf):
 @query
 def mask_residue(spark, sf):
     once, twice = mask.mask(F.col("text")), mask.mask(F.col("text"), passes=2)
-    masked = table(spark, sf, "documents").select("doc_id", once.alias("once"), twice.alias("twice"))
+    masked = _texts(spark, sf, "documents", "doc_id").select("doc_id", once.alias("once"), twice.alias("twice"))
     return masked.select(
         "doc_id",
         detect.count_pii(F.col("once")).alias("n_after_one"),
@@ -117,7 +121,7 @@ def mask_residue(spark, sf):
 
 @query
 def removal_by_source(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents", "doc_id")
     masked = docs.select("source", "text", mask.mask_all(F.col("text")).alias("masked"))
     return aggregate.removal_summary(masked, "text", "masked", ["source"])
 
@@ -125,7 +129,7 @@ def removal_by_source(spark, sf):
 @query
 def sql_mask_all(spark, sf):
     sqlfuncs.register(spark)
-    table(spark, sf, "documents").createOrReplaceTempView("veilwork_documents")
+    _texts(spark, sf, "documents", "doc_id").createOrReplaceTempView("veilwork_documents")
     return spark.sql(
         "select doc_id, mask_all(text) as masked, count_all(text) as n_pii, contains_all(text) as has_pii,"
         " count_cards(text) as n_cc from veilwork_documents"
@@ -159,17 +163,17 @@ def mask_variant(spark, sf):
 
 @query
 def doc_lines(spark, sf):
-    return rows.text_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return rows.text_lines(_texts(spark, sf, "documents", "doc_id"), "doc_id", "text")
 
 
 @query
 def doc_line_counts(spark, sf):
     n = F.size(text.nonblank_lines(F.col("text"))).cast("long")
-    return table(spark, sf, "documents").select("doc_id", n.alias("n_lines"))
+    return _texts(spark, sf, "documents", "doc_id").select("doc_id", n.alias("n_lines"))
 
 
 def _chat(spark, sf):
-    return inputs.chat(table(spark, sf, "events"))
+    return inputs.chat(spread(table(spark, sf, "events"), "event_id"))
 
 
 @query
@@ -214,7 +218,7 @@ def token_survival(spark, sf):
 
 @query
 def document_tokens(spark, sf):
-    return rows.distinct_tokens(table(spark, sf, "documents"), ["source"], "text")
+    return rows.distinct_tokens(_texts(spark, sf, "documents", "doc_id"), ["source"], "text")
 
 
 # ------------------------------------------------------------ scalar functions
@@ -239,7 +243,7 @@ def card_format(spark, sf):
 @query
 def truncate_preview(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
+    return _texts(spark, sf, "documents", "doc_id").select(
         "doc_id", text.truncate_marked(t, 2000).alias("shown"), text.one_line_preview(t).alias("preview")
     )
 
@@ -425,7 +429,7 @@ def score_json_leaves(spark, sf):
 
 @query
 def score_documents(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents", "doc_id")
     masked = docs.withColumn("text", mask.mask_all(F.col("text")))
     return verify.validate_text(docs, masked, "source", "text", rules=CORE)
 
@@ -542,9 +546,13 @@ def last_and_first_n(spark, sf):
 # ---------------------------------------------------------------- generators
 
 
+def _customer_keys(spark, sf):
+    return spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+
+
 @query
 def gen_customers(spark, sf):
-    return generate.gen_customers(table(spark, sf, "customer").select("c_custkey"), "c_custkey", SEED)
+    return generate.gen_customers(_customer_keys(spark, sf), "c_custkey", SEED)
 
 
 @query
@@ -555,7 +563,7 @@ def gen_chat(spark, sf):
 
 @query
 def gen_records(spark, sf):
-    made = generate.gen_records(table(spark, sf, "customer").select("c_custkey"), "c_custkey", SEED)
+    made = generate.gen_records(_customer_keys(spark, sf), "c_custkey", SEED)
     r = lambda f: F.col(f"record.{f}")
     return made.select(
         "id",
@@ -576,7 +584,7 @@ def gen_records(spark, sf):
 
 @query
 def gen_records_check(spark, sf):
-    made = generate.gen_records(table(spark, sf, "customer").select("c_custkey"), "c_custkey", SEED)
+    made = generate.gen_records(_customer_keys(spark, sf), "c_custkey", SEED)
     masked = mask.mask_struct(made, "record")
     return verify.validate_json(made, masked, "id", "record")
 
@@ -587,7 +595,7 @@ def gen_records_check(spark, sf):
 @query
 def manifest(spark, sf):
     root = scratch_dir(spark, "manifest")
-    docs = table(spark, sf, "documents").select("source", "text")
+    docs = _texts(spark, sf, "documents", "doc_id").select("source", "text")
     docs.repartition("source", F.hash("text") % 4).write.partitionBy("source").text(root)
     files = readers.dataset_manifest(spark, root)
     return files.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "path", "length")

@@ -46,6 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input with fewer partitions than cores, for work that is heavy per row.
+
+    A large input has more partitions than the cluster has cores and is returned as it is,
+    without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that ``spark.checkpoint.dir`` names.
 
