@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import CARD_TABLE, CHAT_LINE_PATTERN, CORE, SSN, TOKENS, Rule, RuleSet, TokenRule
+from .text import count_line_starts
 
 
 def count_matches(c: Column, rule: Rule) -> Column:
@@ -38,22 +39,33 @@ def contains_pii(c: Column, rules: RuleSet = CORE) -> Column:
 
 
 def find_matches(c: Column, rule: Rule) -> Column:
-    found = F.regexp_extract_all(c, F.lit(rule.regex), F.lit(0))
-    if rule.needs is None:
-        return found
-    return F.when(~F.contains(c, F.lit(rule.needs)), F.array().cast("array<string>")).otherwise(found)
+    return matches_of(c, rule.regex, 0, rule.needs)
 
 
 def find_ssns(c: Column) -> Column:
     return find_matches(c, SSN)
 
 
+def matches_of(c: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
+    """All matches of a pattern; the text is not searched when it lacks ``needs``."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    if needs is None:
+        return found
+    return F.when(~F.contains(c, F.lit(needs)), F.array().cast("array<string>")).otherwise(found)
+
+
 def non_ssn_tokens(c: Column, tokens: tuple[TokenRule, ...] = TOKENS) -> Column:
     """Distinct protected tokens of a text."""
-    found = (F.regexp_extract_all(c, F.lit(t.pattern), F.lit(t.group)) for t in tokens)
+    found = (matches_of(c, t.pattern, t.group, t.needs) for t in tokens)
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
 def line_format_ok(line: Column) -> Column:
     """Does one line follow the chat grammar?  For single lines only."""
     return F.coalesce(line.rlike(CHAT_LINE_PATTERN), F.lit(False))
+
+
+def count_formatted(c: Column) -> Column:
+    """Number of lines of a text that follow the chat grammar; a single line counts as 0 or 1."""
+    within_line = CHAT_LINE_PATTERN.replace(r"\s+", r"[ \t]+")
+    return count_line_starts(c, r"\[", within_line.removeprefix(r"^\["))

@@ -74,19 +74,27 @@ class Rule:
 
 
 @dataclass(frozen=True)
-class TokenRule:
-    """A number in context that masking must leave alone.
+class Probe:
+    """How to find, in any text, every substring that can equal a token of a rule.
 
-    ``group`` is the group that makes up the token.  ``probes`` find, in any
-    text, every substring that can equal a token of this rule, each as
-    ``(pattern, group, shortest)``; when ``shortest`` is set, every prefix of the
-    found text with at least that many characters is such a substring too.
+    These are the matches of ``pattern``; with ``shortest`` also all their prefixes of at
+    least that length, with ``width`` instead all their stretches of exactly that length.
     """
 
+    pattern: str
+    shortest: int | None = None
+    width: int | None = None
+
+
+@dataclass(frozen=True)
+class TokenRule:
+    """A number in context that masking must leave alone; ``group`` is the part that counts."""
+
     name: str
     pattern: str
     group: int
-    probes: tuple[tuple[str, int, int | None], ...]
+    probes: tuple[Probe, ...]
+    needs: str | None = None
 
 
 @dataclass(frozen=True)
@@ -130,14 +138,11 @@ VARIANT = RuleSet(
 )
 
 TOKENS = (
-    TokenRule("hash_number", HASH_NUMBER_PATTERN, 0, ((r"#\d{4,}", 0, 5),)),
+    TokenRule("hash_number", HASH_NUMBER_PATTERN, 0, (Probe(r"#\d{4,}", shortest=5),), needs="#"),
     TokenRule(
-        "million",
-        MILLION_PATTERN,
-        0,
-        ((r"(?=(\d{2}\.\d+ million))", 1, None), (r"(?=(\d\.\d+ million))", 1, None)),
+        "million", MILLION_PATTERN, 0, (Probe(r"\d\d\.\d+ million"), Probe(r"\d\.\d+ million")), needs=" million"
     ),
-    TokenRule("counted", COUNTED_PATTERN, 1, ((r"tickets|records", 0, None),)),
-    TokenRule("product", PRODUCT_PATTERN, 0, ((r"PRD-\d+", 0, 5),)),
-    TokenRule("four_digit", FOUR_DIGIT_PATTERN, 0, ((r"(?=(\d{4}))", 1, None),)),
+    TokenRule("counted", COUNTED_PATTERN, 1, (Probe(r"tickets"), Probe(r"records"))),
+    TokenRule("product", PRODUCT_PATTERN, 0, (Probe(r"PRD-\d+", shortest=5),), needs="PRD-"),
+    TokenRule("four_digit", FOUR_DIGIT_PATTERN, 0, (Probe(r"\d{4,}", width=4),)),
 )

@@ -16,7 +16,12 @@ _SPACE_POINTS = (
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 WHITESPACE = "".join(map(chr, _SPACE_POINTS))
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+# Single code points below 256 make a much faster character class than ranges do.
+_LINE_ENDS = r"\n\x0B\f\r\x1C\x1D\x1E\x85\x{2028}-\x{2029}"
+_SPACES = "".join(f"\\x{{{point:04X}}}" if point > 255 else f"\\x{point:02X}" for point in _SPACE_POINTS)
+LINE_END = rf"\r\n|[{_LINE_ENDS}]"
+# A non-blank line, from its first character that is not white space on.
+_LINE = rf"(?:[!-~]|[^{_SPACES}])[^{_LINE_ENDS}]*+"
 TRUNCATION_MARK = "\n... [output truncated]"
 FLOOR, CEILING = 0.01, 0.99
 
@@ -38,8 +43,19 @@ def splitlines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def nonblank_lines(c: Column) -> Column:
-    return F.filter(F.split(c, LINE_END, -1), lambda line: ~is_blank(line))
+def count_lines(c: Column) -> Column:
+    """Number of non-blank lines, without making an array of them."""
+    return F.coalesce(F.regexp_count(c, F.lit(_LINE)), F.lit(0)).cast("long")
+
+
+def count_line_starts(c: Column, first: str, rest: str) -> Column:
+    """Number of lines that start with ``first`` and ``rest``, which must not run past a line end.
+
+    Looking for ``first``, one fixed character, before looking back for the line end is what
+    keeps this fast.
+    """
+    found = F.regexp_count(c, F.lit(f"{first}(?<![^{_LINE_ENDS}]{first}){rest}"))
+    return F.coalesce(found, F.lit(0)).cast("long")
 
 
 def contains_token(text: Column, token: Column) -> Column:
@@ -130,11 +146,18 @@ def path_parts(path: Column) -> Column:
 
 
 def template_fill(templates: list[str], index: Column, values: dict[str, Column]) -> Column:
-    """Pick the ``index``-th template (from 0) and put the values in its ``{name}`` slots."""
-    chosen = F.element_at(F.array(*(F.lit(t) for t in templates)), (index + 1).cast("int"))
-    used = {n: v for n, v in values.items() if any(f"{{{n}}}" in t for t in templates)}
-    return reduce(
-        lambda text, item: F.replace(text, F.lit(f"{{{item[0]}}}"), item[1].cast("string")),
-        used.items(),
-        chosen,
-    )
+    """The ``index``-th template (from 0) with the values in its ``{name}`` slots.
+
+    Only the values of the chosen template are computed.  ``index`` is compared once per
+    template, so give a column, not a costly expression.
+    """
+
+    def filled(template: str) -> Column:
+        used = ((n, v) for n, v in values.items() if f"{{{n}}}" in template)
+        return reduce(
+            lambda text, item: F.replace(text, F.lit(f"{{{item[0]}}}"), item[1].cast("string")), used, F.lit(template)
+        )
+
+    first, *others = enumerate(templates)
+    chain = F.when(index == first[0], filled(first[1]))
+    return reduce(lambda c, item: c.when(index == item[0], filled(item[1])), others, chain)

@@ -1,25 +1,28 @@
 """Nested documents as path/value relations.
 
-Two ways to the same relation: documents with a known schema are unrolled by one
-expression and one generator in a single narrow pass; documents without one are
-parsed to variants and walked by a recursive query.
+Two ways to the same relation, both one narrow pass: documents with a known schema are
+unrolled by one expression, documents without one are walked on Arrow batches.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.detect import contains_pii, count_pii
-from ..functions.rules import CORE, RuleSet
-from ..functions.text import path_parts, strip
+from ..functions.text import path_parts
 
-NODE_TYPE = "array<struct<path:string,value:string,is_key:boolean,is_text:boolean,addressable:boolean>>"
+_NODE_FIELDS = ("path", "value", "is_key", "is_text", "addressable")
+_NODE_COLUMNS = "path string, value string, is_key boolean, is_text boolean, addressable boolean"
+NODE_TYPE = f"array<struct<{_NODE_COLUMNS.replace(' string', ':string').replace(' boolean', ':boolean')}>>"
 
 # A key that a path string cannot address: empty, all digits, with a dot or an index.
 _ODD_KEY = re.compile(r"^$|^\d+$|\.|\[\d+\]")
@@ -141,61 +144,77 @@ def _typed_nodes(docs: DataFrame, key: str, column: str, only: str | None) -> Da
     return docs.select(F.col(key), F.inline(nodes if only is None else F.filter(nodes, lambda node: node[only])))
 
 
-# Recursion settings of the session; the default row cap would fail large inputs.
-RECURSION_CONF = {
-    "spark.sql.cteRecursionRowLimit": "-1",
-    "spark.sql.cteRecursionLevelLimit": "1000",
-}
-
-
-def _variant_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
-    spark = docs.sparkSession
-    for name, value in RECURSION_CONF.items():
-        spark.conf.set(name, value)
-    walk = """
-        with recursive walk(doc, path, v, kind, is_key, addressable) as (
-          select doc, '', v, schema_of_variant(v), false, true from {docs} where v is not null
-          union all
-          select w.doc,
-                 case when e.key is null then concat(w.path, '[', e.pos, ']')
-                      when w.path = '' then e.key
-                      else concat(w.path, '.', e.key) end,
-                 e.value,
-                 schema_of_variant(e.value),
-                 e.key is not null,
-                 w.addressable and (e.key is null or not rlike(e.key, :odd))
-          from walk w, lateral variant_explode(w.v) e
-          where w.kind like 'OBJECT%' or w.kind like 'ARRAY%')
-        select doc, path, case when kind = 'STRING' then cast(v as string) end as value,
-               is_key, kind = 'STRING' as is_text, addressable
-        from walk where is_key or kind = 'STRING'
+def _steps(value: Any, path: str, good: bool) -> Iterator[tuple[str, Any, bool, bool]]:
+    """Keys and strings below a parsed document as ``(path, value, is_key, addressable)``."""
+    if isinstance(value, dict):
+        for name, child in value.items():
+            at, fine = f"{path}.{name}" if path else name, good and not _ODD_KEY.search(name)
+            yield at, child, True, fine
+            if isinstance(child, (dict, list)):
+                yield from _steps(child, at, fine)
+    elif isinstance(value, list):
+        for i, child in enumerate(value):
+            if isinstance(child, str):
+                yield f"{path}[{i}]", child, False, good
+            else:
+                yield from _steps(child, f"{path}[{i}]", good)
+    elif isinstance(value, str):
+        yield path, value, False, good
+
+
+_CHUNK = 50_000
+
+
+def _walk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of JSON texts, and for each text one row without a path that tells whether it could be read."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", *_NODE_FIELDS, "malformed"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for key, text in zip(batch["key"], batch["doc"], strict=True):
+            try:
+                doc = json.loads(text) if text is not None else None
+                nodes = [] if text is None else list(_steps(doc, "", True))
+            except (ValueError, RecursionError):
+                nodes, text = [], None
+            rows.append((key, None, None, False, False, True, text is None))
+            for path, value, is_key, good in nodes:
+                is_text = isinstance(value, str)
+                rows.append((key, path, value if is_text else None, is_key, is_text, good, False))
+                if len(rows) >= _CHUNK:
+                    yield frame(rows)
+                    rows = []
+    if rows:
+        yield frame(rows)
+
+
+def text_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """Nodes of documents without a schema, plus a row with no path per document.
+
+    One pass without a shuffle, on Arrow batches.  A recursive query could do the same,
+    but it keeps every level of every document.  JSON is read as Python reads it: the
+    last of several equal keys wins.
     """
-    parsed = docs.select(F.col(key).alias("doc"), as_variant(docs, column).alias("v"))
-    return spark.sql(walk, args={"odd": _ODD_KEY.pattern}, docs=parsed).withColumnRenamed("doc", key)
+    keyed = docs.select(F.col(key).alias("key"), F.col(f"`{column}`").cast("string").alias("doc"))
+    kind = keyed.schema["key"].dataType.simpleString()
+    walked = keyed.mapInPandas(_walk_texts, f"key {kind}, {_NODE_COLUMNS}, malformed boolean")
+    return walked.withColumnRenamed("key", key)
 
 
-def as_variant(docs: DataFrame, column: str) -> Column:
-    """The column as a variant; NULL for text that is not JSON."""
-    c = F.col(f"`{column}`")
-    return c if isinstance(docs.schema[column].dataType, T.VariantType) else F.try_parse_json(c)
-
-
-def is_malformed(docs: DataFrame, column: str) -> Column:
-    """True for text that is not JSON and for documents a reader could not parse."""
-    text = isinstance(docs.schema[column].dataType, T.StringType)
-    return (as_variant(docs, column) if text else F.col(f"`{column}`")).isNull()
+def has_schema(docs: DataFrame, column: str) -> bool:
+    return not isinstance(docs.schema[column].dataType, (T.StringType, T.VariantType))
 
 
 def json_nodes(docs: DataFrame, key: str, column: str, only: str | None = None) -> DataFrame:
     """``(key, path, value, is_key, is_text, addressable)``: every key and every string of each document.
 
     One walk yields both relations.  ``column`` may be a struct, map or array (unrolled
-    by its schema), a variant, or JSON text.  The recursive walk of the last two cannot
-    start from a column that a Python function makes; write such a frame first.
-    ``only`` keeps the nodes with that flag.
+    by its schema), a variant, or JSON text.  ``only`` keeps the nodes with that flag.
     """
-    if isinstance(docs.schema[column].dataType, (T.StringType, T.VariantType)):
-        nodes = _variant_nodes(docs, key, column)
+    if not has_schema(docs, column):
+        nodes = text_nodes(docs, key, column).filter("path is not null").drop("malformed")
         return nodes if only is None else nodes.filter(only)
     return _typed_nodes(docs, key, column, only)
 
@@ -208,10 +227,7 @@ def json_leaves(docs: DataFrame, key: str, column: str) -> DataFrame:
 def json_key_paths(docs: DataFrame, key: str, column: str) -> DataFrame:
     """Distinct paths of object keys at every depth ``(key, path)``."""
     paths = json_nodes(docs, key, column, "is_key").select(key, "path")
-    dtype = docs.schema[column].dataType
-    if not isinstance(dtype, (T.StringType, T.VariantType)) and clean_names(dtype):
-        return paths
-    return paths.distinct()
+    return paths if has_schema(docs, column) and clean_names(docs.schema[column].dataType) else paths.distinct()
 
 
 def lookup_path(path: Column, addressable: Column) -> Column:
@@ -223,7 +239,8 @@ def lookup_path(path: Column, addressable: Column) -> Column:
 
 def get_by_path(doc: Column, path: Column) -> Column:
     """String at ``path`` in a variant document, NULL when absent or not a string."""
-    found = F.try_variant_get(doc, F.concat(F.when(F.startswith(path, F.lit("[")), F.lit("$")).otherwise(F.lit("$.")), path), "variant")
+    root = F.when(F.startswith(path, F.lit("[")), F.lit("$")).otherwise(F.lit("$."))
+    found = F.try_variant_get(doc, F.concat(root, path), "variant")
     return F.when(F.schema_of_variant(found) == "STRING", found.cast("string"))
 
 
@@ -231,12 +248,3 @@ def explode_records(docs: DataFrame, array_path: str, alias: str, *keep: str, ou
     """One row per array element with its position."""
     generate = F.posexplode_outer if outer else F.posexplode
     return docs.select(*keep, generate(F.col(array_path)).alias(f"{alias}_no", alias))
-
-
-def leaf_measures(value: Column, rules: RuleSet = CORE) -> list[Column]:
-    """What verification needs to know about one leaf."""
-    return [
-        count_pii(value, rules).alias("n_pii"),
-        contains_pii(value, rules).alias("has_pii"),
-        strip(value).alias("text"),
-    ]

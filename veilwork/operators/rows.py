@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.detect import contains_pii, find_matches, non_ssn_tokens
-from ..functions.rules import CORE, TOKENS, Rule, RuleSet, TokenRule
+from ..functions.detect import contains_pii, find_matches, matches_of, non_ssn_tokens
+from ..functions.rules import CORE, TOKENS, Probe, Rule, RuleSet, TokenRule
 from ..functions.text import is_blank, splitlines
 
 
@@ -55,15 +53,26 @@ def token_probes(df: DataFrame, keys: list[str], column: str, tokens: tuple[Toke
     test over whole texts becomes an equality on ``(keys, token)``.
     """
 
-    def found(pattern: str, group: int, shortest: int | None):
+    def found(rule: TokenRule, probe: Probe):
+        runs = F.array_distinct(matches_of(F.col(column), probe.pattern, 0, rule.needs))
+        size = lambda run: F.length(run)
+        lo = lambda run: size(run) if probe.shortest is None else F.lit(probe.shortest)
+        if probe.width is not None:
+            bounds = lambda run: (F.lit(1), size(run) - probe.width + 1)
+        else:
+            bounds = lambda run: (lo(run), size(run))
         return F.transform(
-            F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(group))),
+            runs,
             lambda run: F.struct(
-                run.alias("run"), (F.length(run) if shortest is None else F.lit(shortest)).alias("shortest")
+                run.alias("run"),
+                bounds(run)[0].alias("lo"),
+                bounds(run)[1].alias("hi"),
+                F.lit(probe.width).cast("int").alias("width"),
             ),
         )
 
-    probes = [found(*p) for t in tokens for p in t.probes]
-    runs = df.select(*keys, F.inline(reduce(lambda a, b: F.concat(a, b), probes)))
-    lengths = runs.select(*keys, "run", F.explode(F.sequence("shortest", F.length("run"))).alias("n"))
-    return lengths.select(*keys, F.left("run", F.col("n")).alias("token"))
+    probes = [found(t, p) for t in tokens for p in t.probes]
+    runs = df.select(*keys, F.inline(F.concat(*probes)))
+    cuts = runs.select(*keys, "run", "width", F.explode(F.sequence("lo", "hi")).alias("n"))
+    stretch = F.when(F.col("width").isNull(), F.left("run", F.col("n"))).otherwise(F.substr("run", F.col("n"), F.col("width")))
+    return cuts.select(*keys, stretch.alias("token"))

@@ -168,7 +168,7 @@ def doc_lines(spark, sf):
 
 @query
 def doc_line_counts(spark, sf):
-    n = F.size(text.nonblank_lines(F.col("text"))).cast("long")
+    n = text.count_lines(F.col("text"))
     return _texts(spark, sf, "documents", "doc_id").select("doc_id", n.alias("n_lines"))
 
 

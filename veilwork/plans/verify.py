@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.detect import count_cc, count_pii, line_format_ok
+from ..functions.detect import count_cc, count_formatted, count_pii
 from ..functions.rules import CORE, SSN_ONLY, TOKENS, RuleSet, TokenRule
-from ..functions.text import CEILING, FLOOR, clamp, nonblank_lines, round4, safe_ratio, strip
+from ..functions.text import CEILING, FLOOR, clamp, count_lines, round4, safe_ratio, strip
 from ..operators import align
-from ..operators.nested import clean_names, is_malformed, json_nodes, lookup_path, node_array
+from ..operators.nested import clean_names, has_schema, json_nodes, lookup_path, node_array, text_nodes
 from ..operators.runs import TASKS
 from ..sources.readers import CORRUPT, path_exists, read_json_docs, read_table_csv, read_text
 
@@ -140,13 +140,12 @@ def validate_table(
 
 def _text_side(df: DataFrame, key: str | None, column: str, rules: RuleSet, is_baseline: bool) -> DataFrame:
     c = F.col(column)
-    lines = nonblank_lines(c)
     return df.select(
         (F.col(key) if key else F.lit(0)).alias("key"),
         F.lit(is_baseline).alias("is_baseline"),
         count_pii(c, rules).alias("n_matches"),
-        _zero(F.size(lines).cast("long")).alias("n_lines"),
-        _zero(F.size(F.filter(lines, line_format_ok)).cast("long")).alias("n_formatted"),
+        count_lines(c).alias("n_lines"),
+        (F.lit(0).cast("long") if is_baseline else count_formatted(c)).alias("n_formatted"),
     )
 
 
@@ -160,8 +159,9 @@ def validate_text(
 ) -> DataFrame:
     """Verify masked log text.
 
-    A row may hold one line or a whole text; rows of one ``key`` make up one text, and
-    no match or token spans a line end, so nothing has to be put together first.
+    A row may hold one line or a whole text; rows of one ``key`` make up one text.  No SSN
+    and no token spans a line end, so nothing has to be put together first; with rules
+    whose matches may span one, give whole texts.
     """
     sides = _text_side(baseline, key, column, rules, True).unionAll(_text_side(candidate, key, column, rules, False))
     base = F.col("is_baseline")
@@ -281,13 +281,18 @@ def _leaf_rows(docs: DataFrame, key: str, column: str, rules: RuleSet, side: str
     else:
         leaf = row(path, strip(v), found_c=F.col("addressable").cast("long"), pii_c=n_pii)
         name = row(path, nothing, key_c=one)
-    present = F.filter(
-        F.array(F.when(F.col("is_key"), name), F.when(F.col("is_text"), leaf)), lambda r: r.isNotNull()
-    )
-    nodes = json_nodes(docs, key, column).select(F.col(key).alias("key"), F.inline(present))
-    broken = is_malformed(docs, column).cast("long")
-    marker = row(nothing, nothing, **{f"seen_{side}": one, "bad": broken})
-    return nodes.unionAll(docs.select(F.col(key).alias("key"), F.inline(F.array(marker))))
+    seen = lambda bad: row(nothing, nothing, **{f"seen_{side}": one, "bad": bad.cast("long")})
+
+    def present(*rows: Column) -> Column:
+        return F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull()))
+
+    parts = F.when(F.col("is_key"), name), F.when(F.col("is_text"), leaf)
+    if not has_schema(docs, column):
+        marker = F.when(path.isNull(), seen(F.col("malformed")))
+        return text_nodes(docs, key, column).select(F.col(key).alias("key"), present(*parts, marker))
+    nodes = json_nodes(docs, key, column).select(F.col(key).alias("key"), present(*parts))
+    markers = docs.select(F.col(key).alias("key"), F.inline(F.array(seen(F.col(f"`{column}`").isNull()))))
+    return nodes.unionAll(markers)
 
 
 def _validate_leaves(baseline: DataFrame, candidate: DataFrame, key: str, column: str, rules: RuleSet) -> DataFrame:
