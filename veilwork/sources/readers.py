@@ -150,9 +150,9 @@ def source_status(expected: DataFrame, found: DataFrame, key: str, content: str,
 
 def table_status(table: DataFrame) -> DataFrame:
     """``malformed`` as soon as one row of a CSV frame is ragged."""
-    return table.agg(
-        F.when(F.count_if(F.col(CORRUPT).isNotNull()) > 0, "malformed").otherwise("ok").alias("status")
-    )
+    # Spark refuses to read the corrupt-record column alone, so the flag carries another.
+    flag = F.when(F.col(CORRUPT).isNotNull(), F.coalesce(F.col(f"`{table.columns[0]}`"), F.lit("")))
+    return table.agg(F.when(F.count(flag) > 0, "malformed").otherwise("ok").alias("status"))
 
 
 _START = r"^\[START\] task=(.*?) env=(.*?) model=(.*)$"
