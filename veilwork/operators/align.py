@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import PROTECTED_COLUMNS, TOKENS, TokenRule
 from ..functions.text import strip
-from .nested import json_key_paths, json_leaves, lookup_path
-from .rows import distinct_tokens, token_probes
+from .nested import json_leaves, json_nodes, lookup_path
+from .rows import token_probes, token_rows
 
 
 def protected_columns(df: DataFrame, protected: tuple[str, ...] = PROTECTED_COLUMNS) -> list[str]:
@@ -19,11 +19,11 @@ def protected_columns(df: DataFrame, protected: tuple[str, ...] = PROTECTED_COLU
 def with_rank(df: DataFrame, order: str, name: str = "row_index", chunk: int = 1 << 20) -> DataFrame:
     """Position from 0 by a unique integer column, without sorting everything in one task.
 
-    Rows fall into chunks of the order column.  A chunk holds at most ``chunk`` rows,
+    Rows fall into chunks of the order column.  A chunk holds a bounded number of rows,
     since the column is unique; each row's position is its place in the chunk plus the
     number of rows in the chunks before.
     """
-    part = F.floor(F.col(order) / chunk).alias("_chunk")
+    part = F.expr(f"`{order}` div {chunk}").alias("_chunk")
     sizes = df.groupBy(part).agg(F.count("*").alias("_size"))
     offsets = sizes.select(
         "_chunk",
@@ -31,7 +31,7 @@ def with_rank(df: DataFrame, order: str, name: str = "row_index", chunk: int = 1
             "_before"
         ),
     )
-    placed = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn(
+    placed = df.withColumn("_chunk", part).withColumn(
         "_place", F.expr(f"row_number() over (partition by _chunk order by `{order}`) - 1")
     )
     return (
@@ -125,9 +125,8 @@ def lookup_leaves(base: DataFrame, cand: DataFrame, key: str) -> DataFrame:
 
 def key_path_overlap(baseline: DataFrame, candidate: DataFrame, key: str, column: str) -> DataFrame:
     """Per document the number of baseline key paths and how many of them the candidate has."""
-    return overlap_counts(
-        json_key_paths(baseline, key, column), json_key_paths(candidate, key, column), key, "path", "n_paths", "n_common"
-    )
+    base, cand = (json_nodes(df, key, column, "is_key").select(key, "path") for df in (baseline, candidate))
+    return overlap_counts(base, cand, key, "path", "n_paths", "n_common")
 
 
 def overlap_counts(
@@ -135,7 +134,7 @@ def overlap_counts(
 ) -> DataFrame:
     """Per key the size of the baseline set and of its intersection with the candidate's.
 
-    Grouping both sides by ``(key, item)`` spreads a large key over all tasks.
+    Items may repeat on either side.  Grouping both sides by ``(key, item)`` spreads a large key over all tasks.
     """
     tagged = base.select(key, item, F.lit(True).alias("in_base")).unionAll(
         cand.select(key, item, F.lit(False).alias("in_base"))
@@ -154,7 +153,7 @@ def token_survival(
 ) -> DataFrame:
     """Per key the baseline's distinct tokens and how many occur anywhere in the candidate's text."""
     return overlap_counts(
-        distinct_tokens(baseline, [key], column, tokens),
+        token_rows(baseline, [key], column, tokens),
         token_probes(candidate, [key], column, tokens),
         key,
         "token",

@@ -41,9 +41,14 @@ def text_lines(df: DataFrame, key: str, column: str) -> DataFrame:
     return exploded.filter(~is_blank(F.col("line"))).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+def token_rows(df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS) -> DataFrame:
+    """Protected tokens as rows, distinct only within a text."""
+    return df.select(*keys, F.explode(non_ssn_tokens(F.col(column), tokens)).alias("token"))
+
+
 def distinct_tokens(df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS) -> DataFrame:
     """Distinct protected tokens per key as rows."""
-    return df.select(*keys, F.explode(non_ssn_tokens(F.col(column), tokens)).alias("token")).distinct()
+    return token_rows(df, keys, column, tokens).distinct()
 
 
 def token_probes(df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS) -> DataFrame:

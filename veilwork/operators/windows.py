@@ -50,10 +50,10 @@ def running_total(
 ) -> DataFrame:
     """Running sum of ``value`` within ``group`` by a unique integer ``order`` column.
 
-    Sums run within chunks of at most ``chunk`` rows and are shifted by the totals of
+    Sums run within chunks of a bounded number of rows and are shifted by the totals of
     the chunks before, so that not even a single group has to fit one task.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    chunked = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))
     totals = chunked.groupBy(group, "_chunk").agg(F.sum(value).alias("_total"))
     before = F.coalesce(
         F.sum("_total").over(W.partitionBy(group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)

@@ -237,9 +237,13 @@ def _doc_measures(docs: DataFrame, key: str, column: str, rules: RuleSet, side:
 
 
 def _validate_documents(baseline: DataFrame, candidate: DataFrame, key: str, column: str, rules: RuleSet) -> DataFrame:
-    """Documents of a known schema: one join of whole documents, all comparisons within the row."""
+    """Documents of a known schema: one join of whole documents, all comparisons within the row.
+
+    The arrays are far larger than the files they come from, so a size estimate made from
+    those must not turn this into a broadcast.
+    """
     both = _doc_measures(baseline, key, column, rules, "b").join(
-        _doc_measures(candidate, key, column, rules, "c"), key, "left"
+        _doc_measures(candidate, key, column, rules, "c").hint("merge"), key, "left"
     )
     size = lambda c: _zero(F.size(c).cast("long"))
     counts = both.select(
