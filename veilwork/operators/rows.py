@@ -41,9 +41,17 @@ def text_lines(df: DataFrame, key: str, column: str) -> DataFrame:
     return exploded.filter(~is_blank(F.col("line"))).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def token_rows(df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS) -> DataFrame:
-    """Protected tokens as rows, distinct only within a text."""
-    return df.select(*keys, F.explode(non_ssn_tokens(F.col(column), tokens)).alias("token"))
+def token_rows(
+    df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS, marker: bool = False
+) -> DataFrame:
+    """Protected tokens as rows, distinct only within a text.
+
+    With ``marker`` each text also gives one row without a token.
+    """
+    found = non_ssn_tokens(F.coalesce(F.col(column), F.lit("")), tokens)
+    if marker:
+        found = F.concat(F.array(F.lit(None).cast("string")), found)
+    return df.select(*keys, F.explode(found).alias("token"))
 
 
 def distinct_tokens(df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS) -> DataFrame:
@@ -51,33 +59,35 @@ def distinct_tokens(df: DataFrame, keys: list[str], column: str, tokens: tuple[T
     return token_rows(df, keys, column, tokens).distinct()
 
 
-def token_probes(df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS) -> DataFrame:
+def token_probes(
+    df: DataFrame, keys: list[str], column: str, tokens: tuple[TokenRule, ...] = TOKENS, marker: bool = False
+) -> DataFrame:
     """Every substring of the text that can equal a protected token, as rows ``(keys, token)``.
 
     A token occurs in a text exactly when it is among these rows, so a substring
-    test over whole texts becomes an equality on ``(keys, token)``.
+    test over whole texts becomes an equality on ``(keys, token)``.  With ``marker`` each
+    text also gives one row without a token.
     """
+    text = F.coalesce(F.col(column), F.lit(""))
 
-    def found(rule: TokenRule, probe: Probe):
-        runs = F.array_distinct(matches_of(F.col(column), probe.pattern, 0, rule.needs))
-        size = lambda run: F.length(run)
-        lo = lambda run: size(run) if probe.shortest is None else F.lit(probe.shortest)
-        if probe.width is not None:
-            bounds = lambda run: (F.lit(1), size(run) - probe.width + 1)
-        else:
-            bounds = lambda run: (lo(run), size(run))
-        return F.transform(
-            runs,
-            lambda run: F.struct(
-                run.alias("run"),
-                bounds(run)[0].alias("lo"),
-                bounds(run)[1].alias("hi"),
-                F.lit(probe.width).cast("int").alias("width"),
-            ),
+    def stretch(run, lo, hi, width):
+        return F.struct(
+            run.alias("run"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.lit(width).cast("int").alias("width")
         )
 
-    probes = [found(t, p) for t in tokens for p in t.probes]
-    runs = df.select(*keys, F.inline(F.concat(*probes)))
+    def found(rule: TokenRule, probe: Probe):
+        def one(run):
+            size = F.length(run)
+            if probe.width is not None:
+                return stretch(run, F.lit(1), size - probe.width + 1, probe.width)
+            return stretch(run, size if probe.shortest is None else F.lit(probe.shortest), size, None)
+
+        return F.transform(F.array_distinct(matches_of(text, probe.pattern, 0, rule.needs)), one)
+
+    parts = [found(t, p) for t in tokens for p in t.probes]
+    if marker:
+        parts.append(F.array(stretch(F.lit(None).cast("string"), F.lit(1), F.lit(1), None)))
+    runs = df.select(*keys, F.inline(F.concat(*parts)))
     cuts = runs.select(*keys, "run", "width", F.explode(F.sequence("lo", "hi")).alias("n"))
-    stretch = F.when(F.col("width").isNull(), F.left("run", F.col("n"))).otherwise(F.substr("run", F.col("n"), F.col("width")))
-    return cuts.select(*keys, stretch.alias("token"))
+    token = F.when(F.col("width").isNull(), F.left("run", F.col("n"))).otherwise(F.substr("run", F.col("n"), F.col("width")))
+    return cuts.select(*keys, token.alias("token"))

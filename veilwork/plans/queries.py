@@ -592,15 +592,26 @@ def gen_records_check(spark, sf):
 # ------------------------------------------------------------ sources and sinks
 
 
-@query
-def manifest(spark, sf):
+def _listing(spark, sf):
     root = scratch_dir(spark, "manifest")
-    docs = _texts(spark, sf, "documents", "doc_id").select("source", "text")
-    docs.repartition("source", F.hash("text") % 4).write.partitionBy("source").text(root)
+    # A source may hold a large share of the texts, so each is spread over all tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf, "documents").select("source", "text", F.pmod("doc_id", F.lit(tasks)).alias("part"))
+    docs.repartition("source", "part").drop("part").write.partitionBy("source").text(root)
     files = readers.dataset_manifest(spark, root)
     return files.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "path", "length")
 
 
+@query
+def manifest(spark, sf):
+    return _listing(spark, sf)
+
+
+@query
+def manifest_sizes(spark, sf):
+    return _listing(spark, sf).groupBy("source").agg(F.sum("length").alias("n_bytes"))
+
+
 @query
 def csv_roundtrip(spark, sf):
     path = scratch_dir(spark, "csv")

@@ -21,6 +21,7 @@ from ..functions.rules import CORE, SSN_ONLY, TOKENS, RuleSet, TokenRule
 from ..functions.text import CEILING, FLOOR, clamp, count_lines, round4, safe_ratio, strip
 from ..operators import align
 from ..operators.nested import clean_names, has_schema, json_nodes, lookup_path, node_array, text_nodes
+from ..operators.rows import token_probes, token_rows
 from ..operators.runs import TASKS
 from ..sources.readers import CORRUPT, path_exists, read_json_docs, read_table_csv, read_text
 
@@ -138,14 +139,27 @@ def validate_table(
 # ------------------------------------------------------------------ log lines
 
 
-def _text_side(df: DataFrame, key: str | None, column: str, rules: RuleSet, is_baseline: bool) -> DataFrame:
-    c = F.col(column)
-    return df.select(
+_TEXT_SUMS = {"matches": "n_matches", "lines": "n_lines", "formatted": "n_formatted", "rows": "n_rows"}
+
+
+def _text_rows(
+    df: DataFrame, key: str | None, column: str, rules: RuleSet, tokens: tuple[TokenRule, ...], is_baseline: bool
+) -> DataFrame:
+    """Tokens as rows, and per text one row without a token that carries its counts."""
+    c, zero = F.col(column), F.lit(0).cast("long")
+    measured = df.select(
         (F.col(key) if key else F.lit(0)).alias("key"),
-        F.lit(is_baseline).alias("is_baseline"),
+        c.alias("text"),
         count_pii(c, rules).alias("n_matches"),
         count_lines(c).alias("n_lines"),
-        (F.lit(0).cast("long") if is_baseline else count_formatted(c)).alias("n_formatted"),
+        (zero if is_baseline else count_formatted(c)).alias("n_formatted"),
+        F.lit(1).cast("long").alias("n_rows"),
+    )
+    carried = ["key", *_TEXT_SUMS.values()]
+    make = token_rows if is_baseline else token_probes
+    counts = (F.when(F.col("token").isNull(), F.col(n)).otherwise(zero).alias(n) for n in _TEXT_SUMS.values())
+    return make(measured, carried, "text", tokens, marker=True).select(
+        "key", "token", F.lit(is_baseline).alias("base"), *counts
     )
 
 
@@ -163,25 +177,28 @@ def validate_text(
     and no token spans a line end, so nothing has to be put together first; with rules
     whose matches may span one, give whole texts.
     """
-    sides = _text_side(baseline, key, column, rules, True).unionAll(_text_side(candidate, key, column, rules, False))
-    base = F.col("is_baseline")
-    lines = sides.groupBy("key").agg(
-        _zero(F.sum(F.when(base, F.col("n_matches")))).alias("baseline_matches"),
-        _zero(F.sum(F.when(~base, F.col("n_matches")))).alias("candidate_matches"),
-        _zero(F.sum(F.when(base, F.col("n_lines")))).alias("baseline_lines"),
-        _zero(F.sum(F.when(~base, F.col("n_lines")))).alias("candidate_lines"),
-        _zero(F.sum(F.when(~base, F.col("n_formatted")))).alias("formatted_lines"),
-        F.count_if(base).alias("b_rows"),
-        F.count_if(~base).alias("c_rows"),
+    both = _text_rows(baseline, key, column, rules, tokens, True).unionAll(
+        _text_rows(candidate, key, column, rules, tokens, False)
     )
-    keyed = lambda df: df.select((F.col(key) if key else F.lit(0)).alias("key"), column)
-    survival = align.token_survival(keyed(baseline), keyed(candidate), "key", column, tokens)
-    joined = lines.join(survival, "key", "left").withColumns(
-        {"n_tokens": _zero(F.col("n_tokens")), "n_survived": _zero(F.col("n_survived"))}
+    base = F.col("base")
+    sums = {
+        f"{side}_{name}": F.sum(F.when(mine, F.col(n)).otherwise(0))
+        for side, mine in (("baseline", base), ("candidate", ~base))
+        for name, n in _TEXT_SUMS.items()
+    }
+    # Grouping by token first spreads a large key; only counts go on to the grouping by key.
+    items = both.groupBy("key", "token").agg(
+        F.bool_or(base).alias("in_base"), F.bool_or(~base).alias("in_cand"), *(c.alias(n) for n, c in sums.items())
     )
+    is_token = F.col("token").isNotNull() & F.col("in_base")
+    joined = items.groupBy("key").agg(
+        *(F.sum(n).alias(n) for n in sums),
+        F.count_if(is_token).alias("n_tokens"),
+        F.count_if(is_token & F.col("in_cand")).alias("n_survived"),
+    ).withColumnRenamed("candidate_formatted", "formatted_lines")
     formatted = safe_ratio(F.col("formatted_lines"), F.col("baseline_lines"), 0.0)
     same_count = (F.col("baseline_lines") == F.col("candidate_lines")).cast("double")
-    gone = (F.col("b_rows") == 0) | (F.col("c_rows") == 0)
+    gone = (F.col("baseline_rows") == 0) | (F.col("candidate_rows") == 0)
     result = joined.select(
         *([F.col("key").alias(key)] if key and key != "key" else []),
         "*",

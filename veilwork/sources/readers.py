@@ -22,18 +22,21 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([first[0]])) if first else []
 
 
-def read_table_csv(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
+def read_table_csv(
+    spark: SparkSession, path: str, header: list[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """CSV with a header as strings; blank cells are ``''``.
 
     Rows with too few or too many cells keep their text in ``_corrupt_record``, which is
-    NULL for proper rows.  Give ``header`` to spare the look at the first line.
+    NULL for proper rows.  Give ``header`` to spare the look at the first line, and
+    ``multi_line=False`` when no cell holds a line end: only then can a file be split.
     """
     names = csv_header(spark, path) if header is None else header
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
@@ -94,6 +97,7 @@ def dataset_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root`` as ``(path, length)``, hidden ones and the scratch script left out, sorted.
 
     File contents are not read: only the listed columns of the source are asked for.
+    Spark itself leaves out every name that starts with an underscore.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")

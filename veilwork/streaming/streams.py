@@ -78,12 +78,12 @@ def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     taken, done, last = state.get if state.exists else (0, False, None)
-    rows = pd.DataFrame(columns=_INPUT)
+    rows = None
     if not done:
         for batch in batches:
-            rows = _earliest(batch if rows.empty else pd.concat([rows, batch]))
+            rows = _earliest(batch if rows is None else pd.concat([rows, batch]))
     out = []
-    for row in rows.itertuples(index=False):
+    for row in () if rows is None else rows.itertuples(index=False):
         taken += 1
         reward = None if pd.isna(row.reward) else float(row.reward)
         last = last if reward is None else reward
