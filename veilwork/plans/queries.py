@@ -442,7 +442,7 @@ def _all_scores(spark, sf):
             "customers": ("easy", _customer_pair(spark, sf), {"key": "c_nationkey"}),
             "chat": ("medium", (chat, inputs.masked_chat(chat)), {"key": "user_id", "column": "line"}),
             "records": ("hard", _record_pair(spark, sf), {"key": "id"}),
-            "broken": ("medium", (chat, chat), {"key": "user_id", "column": "no_such_column"}),
+            "broken": ("no_such_validator", (chat, chat), {}),
         },
     )
 
