@@ -15,8 +15,9 @@ sum(rate * tokens * posterior), match the targets.
   gives the budget.  A step needs only the domain totals, one small aggregate over a compact
   table; a document's rate follows from the few totals so far, so no rate is stored between steps.
 
-The budget is ``FILL`` of the largest that the domains can give at ``max_rate``:
-min(total_k / weight_k).
+The budget is ``FILL`` of all tokens at ``max_rate``.  A domain's target is its weight's share of
+it, but at most ``MOST`` of what the domain has at ``max_rate``; what it can't give goes to the other
+domains by weight.
 Nothing but sums of domain size comes to the driver.
 
 Null text counts as empty: no tokens, rate 0, prior posteriors.  A null doc_id is scored and never
@@ -47,6 +48,7 @@ SHARPNESS = 12.0
 MAX_STEPS = 30
 TOLERANCE = 1e-4
 FILL = 0.85
+MOST = 0.95
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], labelled) -> Iterator[pa.RecordBatch]:
@@ -140,6 +142,20 @@ class Plan:
         return F.arrow_udf(of, "double")(F.col(member))
 
 
+def _targets(have: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The budget dealt by weight, no domain above ``MOST`` of what it has."""
+    out, full = np.zeros(len(have)), goal <= 0
+    for _ in have:
+        if full.all():
+            break
+        left = FILL * have.sum() - out[full].sum()
+        out[~full] = left * goal[~full] / goal[~full].sum()
+        over = ~full & (out > MOST * have)
+        out[over] = MOST * have[over]
+        full |= over
+    return out
+
+
 def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, max_rate: float = 1.0) -> Plan:
     """Fit rates on a table with the struct ``_mix_member``."""
     weights = WEIGHTS if weights is None else weights
@@ -157,9 +173,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, max_r
     goal[have <= 0] = 0.0
     if not goal.sum():
         return Plan(0.0, [], max_rate, np.zeros(k), np.zeros(k))
-    goal /= goal.sum()
-    used = goal > 0
-    targets = goal * FILL * max_rate * float((have[used] / goal[used]).min())
+    targets = _targets(have * max_rate, goal)
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     plan = Plan(min(max_rate, targets.sum() / have.sum()), [], max_rate, targets, np.zeros(k))
     for step in range(MAX_STEPS + 1):
