@@ -178,7 +178,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     """
     step = math.log(100 / percent) / 2
     large = written(rows.groupBy("tree", "label").agg((F.count(F.lit(1)) >= LARGE_LABEL).alias("_large")), "labels")
-    rows = rows.join(large, ["tree", "label"]).withColumns({"only": F.when("_large", F.col("label")), "band": F.floor(F.log("n") / step)}).drop("_large")
+    rows = rows.join(large, ["tree", "label"]).withColumns({"only": F.when(F.col("_large"), F.col("label")), "band": F.floor(F.log("n") / step)}).drop("_large")
     rows = written(_block(rows.withColumn("only", F.coalesce("only", F.lit(-1).cast("long"))), ["tree", "only", "band"], 77), "rows")
     heads = (
         rows.groupBy("tree", "only", "band", "block")

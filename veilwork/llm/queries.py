@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, tune
-from . import exact_dedup, mixing, ngram_join, piece_codec, quality_rules
+from . import chat_format, cotraining, exact_dedup, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, token_counts
+from .shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -35,6 +37,14 @@ def op2_exact_dedup(spark, sf):
     return exact_dedup.mark_copies(table(spark, sf, "documents"))
 
 
+@query
+def op3_chat_format(spark, sf):
+    """The recovered turns of transcripts built from the labelled turns, without their texts."""
+    lines = chat_format.transcripts(table(spark, sf, "conversations"))
+    turns = chat_format.render(chat_format.parse(lines, chat_format.fit(lines)))
+    return turns.select("conv_id", "turn_no", "role", "n_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op4_ngram_join(spark, sf):
     return ngram_join.near_copies(table(spark, sf, "documents"), n=4, percent=85)
@@ -51,6 +61,52 @@ def op6_piece_codec(spark, sf):
     return coded.select("doc_id", *[F.col(f"_piece_code.{c}").alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
 
 
+@query
+def op7_token_counts(spark, sf):
+    """Documents of the flat token files made from all texts."""
+    path = shared_path(spark, "flat")
+    token_counts.write_flat(table(spark, sf, "documents"), path, BYTE_RANKS, public_tokenizers.PATTERN)
+    found = token_counts.count(spark, path)
+    # the writer names files part-<task>-<job>-c<number>.txt
+    return found.withColumn("file", F.regexp_replace("file", "^part-(\\d+)-.*-c(\\d+).*$", "$1-$2"))
+
+
+@query
+def op8_line_dedup(spark, sf):
+    return line_dedup.dropped(table(spark, sf, "documents"))
+
+
+@query
+def op9_cotraining(spark, sf):
+    return cotraining.train_and_score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_license_scan(spark, sf):
+    return license_scan.scan(table(spark, sf, "documents"))
+
+
+def license_sql() -> str:
+    """Dice of distinct word bigrams of lines and whole texts against the templates."""
+    names = sorted(license_scan.TEMPLATES)
+    templates = " UNION ALL ".join("SELECT '{}' AS license, '{}' AS body".format(k, license_scan.TEMPLATES[k].replace("'", "''")) for k in names)
+    words = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    most = max(license_scan.bounds(len(g), license_scan.LEAST)[1] for g in license_scan.template_bigrams(license_scan.TEMPLATES).values())
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+        units AS (
+            SELECT doc_id, unnest(parts) AS unit, (generate_subscripts(parts, 1) - 1)::INTEGER AS line_no FROM d
+            UNION ALL
+            SELECT doc_id, text, -1 FROM d WHERE len(parts) > 1),
+        split AS (SELECT doc_id, line_no, {words.format("unit")} AS w FROM units),
+        grams AS (SELECT doc_id, line_no, {pairs} AS g FROM split WHERE len(w) > 1 AND len(list_distinct(w)) <= {most + 1}),
+        t AS (SELECT license, {pairs} AS tg FROM (SELECT license, {words.format("body")} AS w FROM ({templates})))
+        SELECT doc_id, line_no, license, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice
+        FROM grams JOIN t ON 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) >= {license_scan.LEAST}
+    """
+
+
 # Texts are equal when identical after lower-casing A-Z; the largest doc_id of equal texts stays.
 SQL: dict[str, str] = {
     "op2_exact_dedup": """
@@ -61,4 +117,5 @@ SQL: dict[str, str] = {
             doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op10_license_scan": license_sql(),
 }
