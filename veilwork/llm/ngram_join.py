@@ -8,8 +8,10 @@ it reaches by links.
 1. Equal sets fall into one class, found by a 128-bit sum of member hashes.
 2. The top of the forest: sets of similar size are cut by hash into parts, as many that a linked
    pair must agree in one part that is not empty (pigeonhole).  A Bloom filter of repeated part
-   hashes lets only those through that two classes may share; the classes that share one form
-   the trees.  No link crosses two trees, and most classes are in none.
+   hashes lets only those through that two classes may share.  The sets that meet under one key
+   get a tree of bitmaps alone, whose traversal leaves the pairs that may link; sets connected by
+   such pairs form the trees of step 3.  (A key of more than ``KEY_SETS`` sets connects them all.)
+   No link crosses two trees, and most classes are in none.
 3. In each tree, blocks of bounded size get a signature tree, and its dual traversal finds and
    verifies links (``signature_tree``).  A tree of many blocks first joins one set per label
    across blocks, again and again, which merges a large group of near copies; then all pairs of
@@ -34,12 +36,13 @@ from pyspark.sql import functions as F
 from .bloom import build
 from .components import components
 from .shared import written
-from .signature_tree import Tree, links, width_for
+from .signature_tree import Tree, bitmap, links, possible_links, width_for
 from .words import grams, mix, pieces
 
 BLOCK_SETS = 512
 BLOCK_MEMBERS = 1 << 17
 LARGE_LABEL = 256
+KEY_SETS = 2048
 _LIMIT = 1 << 40
 
 
@@ -142,6 +145,35 @@ def _members(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 _LINKS = "a long, b long"
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [s for _, s in _sets(batch.column("text"), n)]
+        columns = [batch.column("doc"), pa.array([len(s) for s in own], pa.int64()), pa.array([bitmap(s).tobytes() for s in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "bits"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Edges between sets that may link; rows come sorted by key, a key never in two tasks."""
+    up: dict[int, int] = {}
+    held: list[tuple[int, int, int, bytes]] = []
+
+    def edges(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        docs, sizes = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        return possible_links(Tree.of_bits([np.frombuffer(r[3], np.uint64) for r in rows], sizes, docs), percent, up)
+
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "n", "bits")), strict=True):
+            if held and held[0][0] != row[0]:
+                out += edges(held)
+                held = []
+            held.append(row)
+        yield from _link_rows(out).to_batches()
+    yield from _link_rows(edges(held)).to_batches()
+
+
 def _link_rows(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -170,7 +202,7 @@ def _block(rows: DataFrame, by: list[str], salt: int) -> DataFrame:
     return rows.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(salt)), "blocks"))
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different labels, over all pairs of blocks of a tree.
 
     Blocks hold one large label, or small ones, of one size class; most pairs are ruled out by
@@ -178,8 +210,9 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     """
     step = math.log(100 / percent) / 2
     large = written(rows.groupBy("tree", "label").agg((F.count(F.lit(1)) >= LARGE_LABEL).alias("_large")), "labels")
-    rows = rows.join(large, ["tree", "label"]).withColumns({"only": F.when(F.col("_large"), F.col("label")), "band": F.floor(F.log("n") / step)}).drop("_large")
-    rows = written(_block(rows.withColumn("only", F.coalesce("only", F.lit(-1).cast("long"))), ["tree", "only", "band"], 77), "rows")
+    only = F.when(F.col("_large"), F.col("label")).otherwise(F.lit(-1).cast("long"))
+    rows = rows.join(large, ["tree", "label"]).withColumns({"only": only, "band": F.floor(F.log("n") / step)}).drop("_large")
+    rows = written(_block(rows, ["tree", "only", "band"], 77), "rows").join(members.select("doc", "members"), "doc")
     heads = (
         rows.groupBy("tree", "only", "band", "block")
         .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list(F.struct("doc", "label", "members")).alias("sets"))
@@ -219,13 +252,13 @@ def _tree_links(members: DataFrame, percent: int) -> DataFrame:
     many = spread.filter((F.col("c") > BLOCK_SETS) | (F.col("s") > BLOCK_MEMBERS)).select("tree")
     if many.isEmpty():
         return found
-    rows = written(members.join(many, "tree", "left_semi"), "many")
+    rows = written(members.select("tree", "doc", "n").join(many, "tree", "left_semi"), "many")
     before, salt = None, 0
     while True:
         labels = components(found)
         named = written(rows.join(labels, rows["doc"] == labels["id"], "left").select(rows["*"], F.coalesce("component", "doc").alias("label")), "named")
-        open_trees = named.groupBy("tree").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("tree")
-        named = written(named.join(written(open_trees, "open"), "tree", "left_semi"), "named")
+        open_trees = written(named.groupBy("tree").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("tree"), "open")
+        named = named.join(open_trees, "tree", "left_semi")
         heads = named.filter("doc = label")
         now = heads.count()
         if not now:
@@ -233,9 +266,9 @@ def _tree_links(members: DataFrame, percent: int) -> DataFrame:
         if before is not None and now > 0.9 * before:
             break
         before, salt = now, salt + 1
-        more = _inside(_block(heads, ["tree"], salt), percent, "tree", "block")
+        more = _inside(_block(heads, ["tree"], salt).join(members.select("doc", "members"), "doc"), percent, "tree", "block")
         found = written(found.unionByName(more), "links")
-    return written(found.unionByName(_across(named, percent)), "links")
+    return written(found.unionByName(_across(named, members, percent)), "links")
 
 
 def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -253,8 +286,14 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
     repeated = spark.sparkContext.broadcast(build(keyed.select(F.explode("keys").alias("h")), total, repeated=True))
     met = written(keyed.select("doc_id", "keys").mapInArrow(lambda it: _shared_keys(it, repeated), "key long, doc long"), "met")
-    least = written(met.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a < last").drop("last"), "least")
-    trees = components(met.join(least, "key").select("a", F.col("doc").alias("b")).distinct())
+    least = written(met.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("c")).filter("a < last").drop("last"), "least")
+    held = written(met.join(least, "key").select("key", "doc", "a", "c"), "held")
+    wide = held.filter(F.col("c") > KEY_SETS).select("a", F.col("doc").alias("b"))
+    narrow = held.filter(F.col("c") <= KEY_SETS).select("key", "doc")
+    ids = written(narrow.select("doc").distinct(), "ids")
+    bits = written(pick(base, ids, "doc").dropDuplicates(["doc"]).mapInArrow(lambda it: _bitmaps(it, n), "doc long, n long, bits binary"), "bits")
+    sorted_keys = narrow.join(bits, "doc").repartition("key").sortWithinPartitions("key", "doc")
+    trees = components(wide.unionByName(sorted_keys.mapInArrow(lambda it: _possible(it, percent), _LINKS)).distinct())
     reps = classes.select(F.col("rep").alias("doc"))
     placed = written(trees.select(F.col("id").alias("doc"), F.col("component").alias("tree")).join(reps, "doc", "left_semi"), "placed")
     shared = written(placed.groupBy("tree").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tree"), "shared")

@@ -38,8 +38,21 @@ class Tree:
         flags = np.zeros((len(sets), width), np.uint8)
         members = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
         flags[np.repeat(np.arange(len(sets)), sizes), (members & np.uint64(width - 1)).astype(np.int64)] = 1
-        bits = np.packbits(flags, axis=1).view(np.uint64)
-        hidden = sizes - flags.sum(axis=1, dtype=np.int64)
+        self._build(np.packbits(flags, axis=1, bitorder="little").view(np.uint64), sizes)
+
+    @classmethod
+    def of_bits(cls, bits: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> Tree:
+        """A tree over bitmaps alone, folded to the narrowest of them."""
+        tree = cls.__new__(cls)
+        width = min(len(b) for b in bits)
+        tree.sets, tree.order = [], np.argsort(sizes, kind="stable")
+        tree.labels = labels[tree.order]
+        folded = np.stack([np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in bits])
+        tree._build(folded[tree.order], sizes[tree.order])
+        return tree
+
+    def _build(self, bits: np.ndarray, sizes: np.ndarray) -> None:
+        hidden = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.levels = [Level(bits, sizes, sizes, hidden, self.labels, self.labels)]
         while len(self.levels[-1].small) > 1:
             below = self.levels[-1]
@@ -113,6 +126,14 @@ def _children(i, j, left: list[Level], right: list[Level], level: int) -> tuple[
     return i0[pair] + place // wide, j0[pair] + place % wide
 
 
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """The bitmap of one set; a narrower one is the OR of its parts."""
+    width = width_for(max(1, len(members)))
+    flags = np.zeros(width, np.uint8)
+    flags[(members & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
 def _root(up: dict[int, int], x: int) -> int:
     while (y := up.get(x, x)) != x:
         up[x] = up.get(y, y)
@@ -120,6 +141,18 @@ def _root(up: dict[int, int], x: int) -> int:
     return x
 
 
+def possible_links(tree: Tree, percent: int, up: dict[int, int]) -> list[tuple[int, int]]:
+    """Label pairs that the traversal can't rule out, as a spanning forest on top of ``up``."""
+    out = []
+    i, j = candidates(tree, tree, percent)
+    for p, q in zip(tree.labels[i].tolist(), tree.labels[j].tolist(), strict=True):
+        r, s = _root(up, p), _root(up, q)
+        if r != s:
+            up[max(r, s)] = min(r, s)
+            out.append((p, q))
+    return out
+
+
 def links(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
     """Label pairs joined by some pair of sets, as a spanning forest: each candidate is verified by
     its exact intersection unless earlier links already connect its two labels."""
