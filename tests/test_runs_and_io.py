@@ -149,3 +149,33 @@ def test_episode_stream_over_batches(spark, tmp_path):
         os.utime(part, (1_000_000 + i * 100, 1_000_000 + i * 100))
     found = {(r.episode_id, r.event_id, r.step, r.done) for r in streams.drain(streams.episode_stream(first), "test").collect()}
     assert found == {(r.episode_id, r.event_id, r.step, r.done) for r in accepted(steps).collect()}
+
+
+def test_until_done_takes_its_bound_from_the_frame(spark):
+    from veilwork.operators import windows
+
+    rows = spark.range(60).selectExpr("1L as episode_id", "id as at", "50 as max_steps", "cast(0.1 as double) as reward")
+    done = windows.until_done(rows, "episode_id", ["at"]).collect()
+    assert len(done) == 50 and [r["step"] for r in done if r["done"]] == [50]
+    assert windows.until_done(rows.limit(0), "episode_id", ["at"]).count() == 0
+
+
+def test_sql_functions_on_null(spark):
+    from veilwork.functions import sqlfuncs
+
+    sqlfuncs.register(spark)
+    row = spark.sql("select count_all(null) as n, contains_all(null) as has, mask_all(null) as m, count_cards(null) as c").first()
+    assert tuple(row) == (0, False, None, 0)
+
+
+def test_lookups_do_not_move_or_broadcast_contents(spark):
+    from veilwork.operators import align
+    from veilwork.sources import readers
+
+    expected = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    found = spark.createDataFrame([("a", b"{}"), ("b", b"{")], "name string, content binary")
+    got = {r["name"]: r["status"] for r in readers.source_status(expected, found, "name", "content").collect()}
+    assert got == {"a": "ok", "b": "malformed", "c": "missing"}
+    base = spark.createDataFrame([(1, "p", "v", True)], "id int, path string, value string, addressable boolean")
+    plan = align.lookup_leaves(base, base, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan

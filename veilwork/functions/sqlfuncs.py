@@ -21,15 +21,16 @@ def _mask_body(rules: RuleSet) -> str:
 
 
 def _count_body(rules: RuleSet) -> str:
-    return " + ".join(f"cast(regexp_count(s, {_literal(r.counting_regex)}) as bigint)" for r in rules)
+    return " + ".join(f"cast(regexp_count(coalesce(s, ''), {_literal(r.counting_regex)}) as bigint)" for r in rules)
 
 
 def register(spark: SparkSession, rules: RuleSet = CORE, suffix: str = "all") -> None:
     """Create ``mask_<suffix>``, ``count_<suffix>``, ``contains_<suffix>`` and ``count_cards``.
 
-    They are SQL functions, not UDFs: the optimizer inlines their bodies.
+    They are SQL functions, not UDFs: the optimizer inlines their bodies.  As with the column
+    functions, NULL counts as no match and is masked to NULL.
     """
-    contains = " or ".join(f"rlike(s, {_literal(r.counting_regex)})" for r in rules)
+    contains = " or ".join(f"rlike(coalesce(s, ''), {_literal(r.counting_regex)})" for r in rules)
     bodies = {
         f"mask_{suffix}": ("string", _mask_body(rules)),
         f"count_{suffix}": ("bigint", _count_body(rules)),

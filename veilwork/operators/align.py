@@ -120,7 +120,8 @@ def path_lookup(baseline: DataFrame, candidate: DataFrame, key: str, column: str
 def lookup_leaves(base: DataFrame, cand: DataFrame, key: str) -> DataFrame:
     place = lookup_path(F.col("path"), F.col("addressable"))
     reachable = cand.filter("addressable").select(key, F.col("path").alias("place"), F.col("value").alias("found"))
-    return base.withColumn("place", place).join(reachable, [key, "place"], "left").drop("place")
+    # sized by the columns they were exploded from, leaves look small enough to broadcast; they are not
+    return base.withColumn("place", place).join(reachable.hint("merge"), [key, "place"], "left").drop("place")
 
 
 def key_path_overlap(baseline: DataFrame, candidate: DataFrame, key: str, column: str) -> DataFrame:

@@ -14,7 +14,6 @@ TASKS = (
     ("hard", "Redact Mixed PII from Nested JSON", "records.json", 30),
 )
 SUCCESS_SCORE = 0.5
-MOST_STEPS = max(steps for *_, steps in TASKS)
 
 
 def task_table(spark: SparkSession) -> DataFrame:

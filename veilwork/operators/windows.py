@@ -26,12 +26,15 @@ def is_final(step: Column, max_steps: Column, reward: Column) -> Column:
 
 
 def until_done(
-    df: DataFrame, episode: str, order: list[str], max_steps: str = "max_steps", reward: str = "reward", limit: int = 30
+    df: DataFrame, episode: str, order: list[str], max_steps: str = "max_steps", reward: str = "reward", limit: int | None = None
 ) -> DataFrame:
     """Steps up to and including the first final one, with ``step`` and ``done``.
 
-    ``limit`` must be at least the largest ``max_steps`` in the frame.
+    ``limit`` bounds the rows of an episode before the shuffle.  Left out, it is the largest
+    ``max_steps`` of the frame, found by a small aggregate; a smaller one would lose steps.
     """
+    if limit is None:
+        limit = df.agg(F.max(max_steps)).first()[0] or 0
     steps = step_counter(df, episode, order, limit)
     steps = steps.withColumn("done", is_final(F.col("step"), F.col(max_steps), F.col(reward)))
     before = W.partitionBy(episode).orderBy("step").rowsBetween(W.unboundedPreceding, -1)

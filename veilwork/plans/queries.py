@@ -480,7 +480,7 @@ def _steps(spark, sf):
 
 def _accepted(spark, sf):
     known = _steps(spark, sf).filter("error is null")
-    return windows.until_done(known, "episode_id", ["ts", "event_id"], limit=runs.MOST_STEPS)
+    return windows.until_done(known, "episode_id", ["ts", "event_id"])
 
 
 @query

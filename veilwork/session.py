@@ -79,12 +79,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that ``spark.checkpoint.dir`` names.
 
-    The folder must be reachable from every executor.  Only a local session may
-    fall back to a temporary folder of the machine it runs on.
+    The folder must be reachable from every executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.gettempdir()
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{root.rstrip('/')}/veilwork-{label}-{uuid.uuid4().hex}"

@@ -148,7 +148,8 @@ def source_status(expected: DataFrame, found: DataFrame, key: str, content: str,
     """
     judge = json_status if kind == "json" else text_status
     status = judge(F.col(content))
-    joined = expected.select(key).join(found.select(key, content), key, "left").select(key, status.alias("status"))
+    judged = found.select(key, status.alias("status"))  # contents stay where they are, the short status moves
+    joined = expected.select(key).join(judged, key, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
     return joined.withColumn("score", F.when(F.col("status") != "ok", F.lit(FLOOR)))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.detect import count_pii
 from ..functions.mask import mask
 from ..functions.rules import CORE, RuleSet
-from ..operators.runs import MOST_STEPS
 from ..operators.windows import FINAL_REWARD
 from ..session import scratch_dir
 
@@ -68,7 +67,8 @@ _ORDER = ["at", "event_id"]
 
 def _earliest(rows: pd.DataFrame) -> pd.DataFrame:
     """The rows of each episode that can still be steps."""
-    return rows.sort_values(_ORDER, kind="stable").groupby("episode_id", sort=False).head(MOST_STEPS)
+    rows = rows.sort_values(_ORDER, kind="stable")
+    return rows[rows.groupby("episode_id", sort=False).cumcount() < rows["max_steps"]]
 
 
 def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,9 +103,9 @@ def episode_stream(stream: DataFrame) -> DataFrame:
     put in order; across micro-batches the log is expected to arrive in order, as an
     append-only log does.  The state of an episode is a step count, a flag and a reward.
 
-    No episode has more than a fixed number of steps, so each input batch is cut to the
-    earliest rows of every episode before the shuffle; an episode with very many rows
-    sends only those to its task.
+    No episode has more than its ``max_steps`` steps, so each input batch is cut to that many of
+    the earliest rows of every episode before the shuffle; an episode with very many rows sends
+    only those to its task.
     """
     cut = stream.select(*_INPUT).mapInPandas(_cut_batches, stream.select(*_INPUT).schema)
     return cut.groupBy("episode_id").applyInPandasWithState(
