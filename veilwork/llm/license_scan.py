@@ -14,6 +14,9 @@ each.  Repeated rows give repeated results, an empty table gives none; other col
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
 
 def bounds(size: int, least: float) -> tuple[int, int]:
     """The bigram counts with which a unit can reach ``least`` against a template of ``size`` bigrams."""
-    low = max(1, int(-(-size * least // (2 - least))))
-    return low, int(size * (2 - least) // least)
+    share = Fraction(str(least))
+    return max(1, math.ceil(size * share / (2 - share))), math.floor(size * (2 - share) / share)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
