@@ -59,15 +59,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     def words(unit: Column) -> Column:
         return F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
 
+    def unit(number: Column | int, content: Column) -> Column:
+        found = F.when(F.length(content) >= 2 * low, words(content))
+        return F.struct((F.lit(number) if isinstance(number, int) else number).alias("line_no"), found.alias("words"))
+
+    # the words are made below the generator, so that no later expression makes them again
     split = F.split("text", "\n")
-    each = F.transform(split, lambda line, k: F.struct(k.alias("line_no"), line.alias("unit")))
-    whole = F.array(F.struct(F.lit(-1).alias("line_no"), F.col("text").alias("unit")))
-    units = F.when(F.size(split) > 1, F.concat(each, whole)).otherwise(each)
-    rows = docs.select("doc_id", F.inline(units)).filter(F.length("unit") >= 2 * low)
-    rows = rows.select("doc_id", "line_no", words(F.col("unit")).alias("words")).filter(F.size("words") > low)
+    each = F.transform(split, lambda line, k: unit(k, line))
+    units = F.when(F.size(split) > 1, F.concat(each, F.array(unit(-1, F.col("text"))))).otherwise(each)
+    rows = docs.select("doc_id", F.inline(units)).filter(F.size("words") > low)
     # a unit has at least as many distinct bigrams as distinct words less one
     rows = rows.filter(F.size(F.array_distinct("words")) <= high + 1)
-    pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat_ws(" ", F.get("words", k - 1), F.get("words", k)))
+    pair = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda x, y: F.concat_ws(" ", x, y))
     rows = rows.select("doc_id", "line_no", F.array_distinct(pair).alias("grams")).filter(F.size("grams").between(low, high))
 
     def dice(name: str) -> Column:
