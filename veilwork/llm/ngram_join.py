@@ -9,8 +9,8 @@ it reaches by links.
 2. The top of the forest: sets of similar size are cut by hash into parts, as many that a linked
    pair must agree in one part that is not empty (pigeonhole).  A Bloom filter of repeated part
    hashes lets only those through that two classes may share.  The sets that meet under one key
-   get a tree of bitmaps alone, whose traversal leaves the pairs that may link; sets connected by
-   such pairs form the trees of step 3.  (A key of more than ``KEY_SETS`` sets connects them all.)
+   (or several keys, where the same sets meet) get a tree of bitmaps alone, whose traversal
+   leaves the pairs that may link; sets connected by such pairs form the trees of step 3.  (A key of more than ``KEY_SETS`` sets connects them all.)
    No link crosses two trees, and most classes are in none.
 3. In each tree, blocks of bounded size get a signature tree, and its dual traversal finds and
    verifies links (``signature_tree``).  A tree of many blocks first joins one set per label
@@ -271,6 +271,21 @@ def _tree_links(members: DataFrame, percent: int) -> DataFrame:
     return written(found.unionByName(_across(named, members, percent)), "links")
 
 
+def _groups(met: DataFrame) -> DataFrame:
+    """One key (key, a, c) for each set of two or more documents that meet under some key.
+
+    A group is known by its smallest and largest id, its size, and the sums of both halves of its
+    ids' hashes; a sum that overflows is null, and then the key stands for itself.
+    """
+    h = F.xxhash64("doc")
+    halves = [h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32)]
+    met = met.groupBy("key").agg(
+        F.min("doc").alias("a"), F.max("doc").alias("z"), F.count(F.lit(1)).alias("c"), *[F.try_sum(x).alias(f"s{k}") for k, x in enumerate(halves)]
+    )
+    same = [F.coalesce(f"s{k}", "key") for k in range(2)]
+    return written(met.filter("a < z").groupBy("a", "z", "c", *same).agg(F.min("key").alias("key")).select("key", "a", "c"), "groups")
+
+
 def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, copies (documents with the same set) for each document."""
     spark = docs.sparkSession
@@ -286,8 +301,7 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
     repeated = spark.sparkContext.broadcast(build(keyed.select(F.explode("keys").alias("h")), total, repeated=True))
     met = written(keyed.select("doc_id", "keys").mapInArrow(lambda it: _shared_keys(it, repeated), "key long, doc long"), "met")
-    least = written(met.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("c")).filter("a < last").drop("last"), "least")
-    held = written(met.join(least, "key").select("key", "doc", "a", "c"), "held")
+    held = written(met.join(_groups(met), "key").select("key", "doc", "a", "c"), "held")
     wide = held.filter(F.col("c") > KEY_SETS).select("a", F.col("doc").alias("b"))
     narrow = held.filter(F.col("c") <= KEY_SETS).select("key", "doc")
     ids = written(narrow.select("doc").distinct(), "ids")
