@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,30 @@ def test_lookup_and_overlap(spark):
     assert tuple(align.key_path_overlap(base, cand, "id", "doc").first()) == (1, 4, 3)
 
 
+def at_path(value, path):
+    """The plain walk: names and list positions; a text has no positions here."""
+    for part in filter(None, re.split(r"\.|\[(\d+)\]", path)):
+        if part.isdigit():
+            value = value[int(part)] if isinstance(value, list) and int(part) < len(value) else None
+        else:
+            value = value.get(part) if isinstance(value, dict) else None
+    return value if isinstance(value, str) else None
+
+
+def test_odd_paths(spark):
+    docs = [
+        {"a": ["x", "y", 5], "b": {"c": "z", "it's?": "q", " pad": "p", "k[": "r", "two words": "w"}, "7": "digits"},
+        "whole text",
+        ["first"],
+    ]
+    paths = ["", ".", "b..c", "b.c.", ".b.c", "a.1", "a[1]", "a[0]", "a[2]", "a[9]", "a[99999999999]", "7", "0", "[0]", "b.it's?", "b. pad", "b.k["]
+    paths += ["b.two words", "b", "a.c", "nothing", "a[1].c", "[0].c", "a[01]", "a[x]", "a]"]
+    rows = [(i, json.dumps(d), p) for i, d in enumerate(docs) for p in paths]
+    frame = spark.createDataFrame(rows, "id int, doc string, path string").select("id", F.parse_json("doc").alias("v"), "path")
+    found = {(r["id"], r["path"]): r["s"] for r in frame.select("id", "path", nested.get_by_path(F.col("v"), F.col("path")).alias("s")).collect()}
+    assert found == {(i, p): at_path(docs[i], p) for i in range(len(docs)) for p in paths}
+
+
 def test_strategies_agree_and_ignore_partitions(spark, sf):
     from veilwork.plans import inputs
 

@@ -237,10 +237,26 @@ def lookup_path(path: Column, addressable: Column) -> Column:
     return F.when(addressable, path).otherwise(indexed)
 
 
+def _step(part: Column) -> Column:
+    """One step of a path in the form that variants take; NULL for a name no form can hold."""
+    return (
+        F.when(part.rlike(r"^\d{1,9}$"), F.concat(F.lit("["), part, F.lit("]")))
+        .when(part.rlike(r"^\d+$"), F.lit(None))
+        .when(~part.rlike(r"^\s|\["), F.concat(F.lit("."), part))
+        .when(~part.rlike("['?]"), F.concat(F.lit("['"), part, F.lit("']")))
+        .when(~part.rlike('["?]'), F.concat(F.lit('["'), part, F.lit('"]')))
+    )
+
+
 def get_by_path(doc: Column, path: Column) -> Column:
-    """String at ``path`` in a variant document, NULL when absent or not a string."""
-    root = F.when(F.startswith(path, F.lit("[")), F.lit("$")).otherwise(F.lit("$."))
-    found = F.try_variant_get(doc, F.concat(root, path), "variant")
+    """String at ``path`` in a variant document, NULL when absent or not a string.
+
+    Dots and ``[n]`` part the steps, empty steps don't count, and a step of digits is a position
+    in a list, never a name.  The empty path is the document itself.
+    """
+    steps = F.transform(path_parts(path), _step)
+    place = F.when(~F.exists(steps, lambda step: step.isNull()), F.concat(F.lit("$"), F.array_join(steps, "")))
+    found = F.try_variant_get(doc, place, "variant")
     return F.when(F.schema_of_variant(found) == "STRING", found.cast("string"))
 
 
