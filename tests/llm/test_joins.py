@@ -124,6 +124,46 @@ def test_line_dedup(spark):
     assert line_dedup.dropped(docs.limit(0)).count() == 0
 
 
+def test_line_links_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    lines = ["word", "ward", "ten letter", "ten better", "nine char", "nine chars", "é" * 30, "é" * 27]
+    for size in (2, 5, 8, 12, 20, 27, 40, 60, 400):
+        base = " ".join("".join(rng.choice(letters[:26]) for _ in range(rng.randrange(1, 10))) for _ in range(size))
+        lines.append(base)
+        for share in (0.02, 0.05, 0.09, 0.1, 0.12):
+            own = list(base)
+            for _ in range(int(share * len(base))):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters), rng.choice("xyz")])
+            lines.append(" ".join("".join(own).split()))
+        lines.append("".join("#" if i % 10 == 9 and c != " " else c for i, c in enumerate(base)).replace("#", "ö"))  # edits as even as can be
+    table = line_dedup.lines(frame(spark, rows_of(lines))).select("h", "norm").distinct()
+    l, r = table.alias("l"), table.alias("r")
+    brute = l.join(r, F.expr("l.h < r.h and levenshtein(l.norm, r.norm) <= cast(0.1 * greatest(length(l.norm), length(r.norm)) as int)"))
+    brute = [tuple(x) for x in brute.select("l.h", "r.h").collect()]
+    got = [tuple(x) for x in line_dedup.links(line_dedup.lines(frame(spark, rows_of(lines)))).collect()]
+
+    def parts(pairs):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[root(a)] = root(b)
+        groups = {}
+        for x in list(up):
+            groups.setdefault(root(x), set()).add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    assert len(brute) > 40 and parts(got) == parts(brute)
+
+
 def test_simhash(spark):
     from pyspark.sql import functions as F
 
