@@ -92,6 +92,25 @@ def test_mixing(spark):
     assert mixing.mix(docs, labels_of(spark))[0].count() == len(texts) + 2
 
 
+def test_mixing_meets_weights(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rates, plan = mixing.mix(docs, labels)
+    rows = rates.collect()
+    got = np.array([sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS])
+    asked = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    assert np.abs(got / got.sum() - asked).max() < 1e-3 and plan.met
+    assert 0.98 * plan.possible < got.sum() <= min(plan.have / asked)
+    cells = np.array([[8.0, 0.0, 0.0], [0.0, 4.0, 0.0], [0.0, 0.0, 1.0]])
+    assert np.isclose(mixing._largest(cells, np.array([0.5, 0.3, 0.2])), 5.0) and np.isclose(mixing._largest(cells, np.array([0.8, 0.2, 0.0])), 10.0)
+
+
+def test_mixing_out_of_reach(spark):
+    docs = docs_of(spark, ["sun sea " * 30] * 5)
+    with pytest.warns(UserWarning, match="not met"):
+        plan = mixing.mix(docs, labels_of(spark, [(i, 1, 0) for i in range(5)]), {"good": 0.5, "toxic": 0.5})[1]
+    assert not plan.met and plan.asked.tolist() == [0.5, 0.0, 0.5] and plan.totals.sum() > 0
+
+
 def test_cotraining(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     rows = cotraining.train_and_score(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()

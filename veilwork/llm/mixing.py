@@ -15,21 +15,27 @@ sum(rate * tokens * posterior), match the targets.
   gives the budget.  A step needs only the domain totals, one small aggregate over a compact
   table; a document's rate follows from the few totals so far, so no rate is stored between steps.
 
-The budget is ``FILL`` of all tokens at ``max_rate``.  A domain's target is its weight's share of
-it, but at most ``MOST`` of what the domain has at ``max_rate``; what it can't give goes to the other
-domains by weight.
-Nothing but sums of domain size comes to the driver.
+* A fit that has stalled or not converged after ``MAX_STEPS``, as near the largest budget, goes on with
+  Newton steps on the dual: rates are then the start plus one combination of the posteriors, clipped.
+
+The budget is ``NEAR`` of the largest at which all weights can be met at once, found on a histogram of
+posteriors (at most 33,000 cells with their exact sums).  Weights are out of reach when that is below
+``LEAST`` of all tokens: then the budget is ``FILL`` of all tokens, a domain gets at most ``MOST`` of what
+it has, and what it can't give goes to the other domains by weight.  The plan holds what was asked,
+what was possible and what was reached, and a warning says when the weights are not met.
 
 Null text counts as empty: no tokens, rate 0, prior posteriors.  A null doc_id is scored and never
 trained on; ``sample`` treats it as an id of its own.  Equal rows get equal posteriors and rates.
-A domain without labels or tokens has target 0.  An empty table gives an empty result.  ``sample``
+A domain without tokens has target 0.  An empty table gives an empty result.  ``sample``
 passes all columns through; names that start with ``_mix_`` are reserved.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,11 @@ MAX_STEPS = 30
 TOLERANCE = 1e-4
 FILL = 0.85
 MOST = 0.95
+NEAR = 0.99
+LEAST = 0.01
+NEWTON_STEPS = 60
+_CELLS = 256
+_BOUND = 1000.0
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], labelled) -> Iterator[pa.RecordBatch]:
@@ -122,13 +133,30 @@ def _rates(p: np.ndarray, start: float, pulls: list[np.ndarray], max_rate: float
 
 @dataclass
 class Plan:
-    """The fitted mixture: the steps' pulls define every document's rate."""
+    """The fitted mixture: the steps' pulls define every document's rate.
+
+    ``asked`` are the weights as shares, ``have`` each domain's tokens at ``max_rate``, ``possible`` the
+    largest total at which all weights can be met, ``totals`` what the rates reach.
+    """
 
     start: float
     pulls: list[np.ndarray]
     max_rate: float
     targets: np.ndarray
     totals: np.ndarray
+    asked: np.ndarray
+    have: np.ndarray
+    possible: float = 0.0
+
+    @property
+    def converged(self) -> bool:
+        return bool(np.abs(self.totals - self.targets).max() <= TOLERANCE * self.targets.sum())
+
+    @property
+    def met(self) -> bool:
+        """Whether the shares reached are the weights."""
+        total = self.totals.sum()
+        return bool(total > 0 and np.abs(self.totals / total - self.asked).max() <= 2 * TOLERANCE)
 
     def rate(self, member: str = "_mix_member") -> Column:
         """The rate of a row as a column."""
@@ -156,11 +184,74 @@ def _targets(have: np.ndarray, goal: np.ndarray) -> np.ndarray:
     return out
 
 
+def _largest(cells: np.ndarray, share: np.ndarray) -> float:
+    """The largest b such that rates from 0 to 1 give totals of b * share; ``cells`` has tokens by domain.
+
+    By duality this is the least of sum(max(0, cells @ x)) over x with x @ share = 1, which is convex.
+    """
+    asked = share > 0
+    scale = np.where(asked, 1.0 / np.where(asked, share, 1.0), 1.0)
+    base = int(np.argmax(share))
+    free = [d for d in range(len(share)) if d != base]
+
+    def at(point: np.ndarray) -> float:
+        x = np.zeros(len(share))
+        x[free] = point
+        x[base] = 1.0 - sum(x[d] for d in free if asked[d])
+        return float(np.maximum(cells @ (x * scale), 0.0).sum())
+
+    starts = [np.zeros(len(free))] + [np.eye(len(free))[i] for i, d in enumerate(free) if asked[d]]
+    best, place = min((at(x), tuple(x)) for x in starts)
+    width = 1.0
+    for _ in range(300):
+        if width < 1e-6:
+            break
+        steps = [np.clip(np.array(place) + width * np.array(d), -_BOUND, _BOUND) for d in product((-1.0, -0.5, 0.0, 0.5, 1.0), repeat=len(free))]
+        found, there = min((at(x), tuple(x)) for x in steps)
+        moved = found < best * (1 - 1e-9)
+        best, place = (found, there) if moved else (best, place)
+        width *= 1.5 if moved else 0.5
+    return best
+
+
+def _newton(members: DataFrame, plan: Plan, names: list[str], n: Column) -> Plan:
+    """The plan whose rates are the start plus a combination of posteriors, clipped, that meets the targets."""
+    k = len(names)
+
+    def look(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        columns = []
+        for x in points:
+            raw = F.lit(plan.start) + sum(F.lit(float(v)) * F.col(c) for v, c in zip(x, names, strict=True))
+            rate = F.least(F.greatest(raw, F.lit(0.0)), F.lit(plan.max_rate))
+            inner = F.when((raw > 0) & (raw < plan.max_rate), n).otherwise(0.0)
+            columns += [n * (rate * raw - rate * rate / 2), *[n * rate * F.col(c) for c in names], *[inner * F.col(a) * F.col(b) for a in names for b in names]]
+        got = np.array([float(v or 0.0) for v in members.agg(*[F.sum(c) for c in columns]).first()]).reshape(len(points), -1)
+        return [(row[0] - float(plan.targets @ x), row[1 : k + 1], row[k + 1 :].reshape(k, k)) for x, row in zip(points, got, strict=True)]
+
+    at = np.zeros(k)
+    (value, totals, bend), = look([at])
+    ridge = 1e-3 * plan.have.sum()
+    for _ in range(NEWTON_STEPS):
+        off = totals - plan.targets
+        if np.abs(off).max() <= TOLERANCE * plan.targets.sum():
+            break
+        tries = [at - np.linalg.solve(bend + r * np.eye(k), off) for r in (ridge * 1e-3, ridge * 0.1, ridge, ridge * 10, ridge * 1e3)]
+        seen = look(tries)
+        i = min(range(len(tries)), key=lambda j: seen[j][0])
+        if seen[i][0] >= value and np.abs(seen[i][1] - plan.targets).max() >= np.abs(off).max():
+            ridge *= 100
+            continue
+        at, (value, totals, bend) = tries[i], seen[i]
+        ridge = float(np.clip(ridge * (1e-3, 0.1, 1, 10, 1e3)[i], 1e-12 * plan.have.sum(), 1e6 * plan.have.sum()))
+    return Plan(plan.start, [-at], plan.max_rate, plan.targets, totals, plan.asked, plan.have, plan.possible)
+
+
 def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, max_rate: float = 1.0) -> Plan:
     """Fit rates on a table with the struct ``_mix_member``."""
     weights = WEIGHTS if weights is None else weights
     k = len(DOMAINS)
     goal = np.array([float(weights.get(d, 0.0)) for d in DOMAINS])
+    asked = goal / goal.sum() if goal.sum() else goal.copy()
     names = [f"_mix_member.p_{d}" for d in DOMAINS]
     n = F.col("_mix_member.n_tokens").cast("double")
 
@@ -172,17 +263,31 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, max_r
     have, gram = row[:k], row[k:].reshape(k, k)
     goal[have <= 0] = 0.0
     if not goal.sum():
-        return Plan(0.0, [], max_rate, np.zeros(k), np.zeros(k))
-    targets = _targets(have * max_rate, goal)
+        return Plan(0.0, [], max_rate, np.zeros(k), np.zeros(k), asked, have * max_rate)
+    cell = [F.floor(F.sqrt(F.col(c)) * _CELLS) for c in names[1:]]
+    cells = members.groupBy(*[c.alias(f"cell{i}") for i, c in enumerate(cell)]).agg(*[F.sum(n * F.col(c)).alias(f"sum{i}") for i, c in enumerate(names)])
+    cells = np.array([[float(v or 0.0) for v in r] for r in cells.select(*[f"sum{i}" for i in range(k)]).collect()])
+    possible = _largest(cells * max_rate, asked)
+    reachable = possible >= LEAST * max_rate * have.sum()
+    targets = NEAR * possible * asked if reachable else _targets(have * max_rate, goal)
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
-    plan = Plan(min(max_rate, targets.sum() / have.sum()), [], max_rate, targets, np.zeros(k))
+    plan = Plan(min(max_rate, targets.sum() / have.sum()), [], max_rate, targets, np.zeros(k), asked, have * max_rate, possible)
+    last: list[float] = []
     for step in range(MAX_STEPS + 1):
         members_rated = members.withColumn("_mix_rate", plan.rate())
         plan.totals = sums(*[F.col("_mix_rate") * n * F.col(c) for c in names])
         off = plan.totals - targets
-        if step == MAX_STEPS or np.abs(off).max() <= TOLERANCE * targets.sum():
-            return plan
-        plan.pulls.append(inverse @ off)
+        last.append(float(np.abs(off).max()))
+        if plan.converged or len(last) > 4 and last[-1] > last[-4] / 2:
+            break
+        if step < MAX_STEPS:
+            plan.pulls.append(inverse @ off)
+    if reachable and not plan.converged:
+        closer = _newton(members, plan, names, n)
+        plan = closer if np.abs(closer.totals - targets).max() < np.abs(off).max() else plan
+    if not plan.met:
+        told = ", ".join(f"{d}: asked {a:.4f}, available {h:.0f}, reached {t:.0f} tokens" for d, a, h, t in zip(DOMAINS, asked, have * max_rate, plan.totals, strict=True))
+        warnings.warn(f"the mixing weights are not met; at most {possible:.0f} tokens can meet them ({told})", stacklevel=2)
     return plan
 
 
