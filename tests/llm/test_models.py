@@ -121,6 +121,14 @@ def test_cotraining(spark, sf):
     assert len(odd) == len(TEXTS) and len({r["p_good"] for r in odd}) == 1
 
 
+def test_text_view_counts_all(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "MAX_FITTED", 5, raising=False)  # a bound on labels and pseudo-labels together, before
+    docs = docs_of(spark, [f"sun w{i}" if i % 2 else f"rain w{i}" for i in range(40)] + [None])
+    teach = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, class int")
+    ratios = cotraining._fit_text(docs, teach)
+    assert (ratios > 0.01).sum() >= 20 and (ratios < -0.01).sum() >= 20  # each word of its own class has a say
+
+
 def test_viterbi_chunks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     model = chat_format.Model(rng.integers(0, 9, chat_format.STATES).astype(float), rng.integers(0, 9, (chat_format.STATES,) * 2).astype(float), rng.integers(0, 9, (chat_format.STATES, chat_format.N_SYMBOLS)).astype(float))

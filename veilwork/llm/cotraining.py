@@ -11,10 +11,10 @@ calibrated (logistic regression on the held-out fifth, from a histogram) and the
 odds are added, less the prior's, to score every document; ``kept`` is a score of ``KEEP`` or more,
 which is low, so that a good document is rarely lost.
 
-The text view is fitted on at most ``MAX_FITTED`` labelled and pseudo-labelled documents, those with
-the smallest hash of their id (ids and classes are broadcast, 2.6 MB at most).  The metadata view,
-the histograms and the scores cover all documents.  Models and histograms have fixed sizes;
-nothing else comes to the driver.
+The text view is fitted on all labelled and pseudo-labelled documents, which are joined to their
+classes by doc_id; the metadata view, the histograms and the scores cover all documents.  Models
+and histograms have fixed sizes; nothing else comes to the driver.  The first round has labels
+only, the others exchange pseudo-labels.
 
 Null text counts as empty.  A null doc_id is scored but never trained on; null source or language is
 a value of its own.  Repeated rows are scored alike.  With labels of one class only, or none, every
@@ -34,10 +34,9 @@ from .shared import written
 from .words import pieces
 
 BITS = 15
-ROUNDS = 2
+ROUNDS = 3
 CONFIDENT = 0.95
 KEEP = 0.2
-MAX_FITTED = 200_000
 SMOOTHING = 1.0
 TEXT_SCALE = 10.0
 _BINS = 400
@@ -75,16 +74,10 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, "doc_id", "left").withColumn("trains", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) > 0)
 
 
-def _text_counts(batches: Iterator[pa.RecordBatch], fitted) -> Iterator[pa.RecordBatch]:
-    ids, classes = fitted.value
+def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        own = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-        kind = np.full(len(own), -1)
-        if len(ids):
-            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            known = (ids[at] == own) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            kind[known] = classes[at[known]]
+        kind = batch.column("class").to_numpy(zero_copy_only=False)
         for piece in pieces(batch.column("text")):
             of_word = kind[piece.rows][piece.text_of_word()]
             bucket = (piece.hashes(piece.starts, piece.ends) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -96,13 +89,9 @@ def _text_counts(batches: Iterator[pa.RecordBatch], fitted) -> Iterator[pa.Recor
 
 def _fit_text(docs: DataFrame, teach: DataFrame) -> np.ndarray:
     """Log ratio of each word bucket, good to poor; ``teach`` holds doc_id and class."""
-    spark = docs.sparkSession
-    rows = teach.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FITTED).collect()
-    chosen = {r["doc_id"]: r["class"] for r in rows}
-    ids = np.array(sorted(chosen), np.int64)
-    fitted = spark.sparkContext.broadcast((ids, np.array([chosen[i] for i in ids.tolist()], np.int64)))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sums = base.mapInArrow(lambda it: _text_counts(it, fitted), "kind long, bucket long, words long")
+    taught = base.join(written(teach.groupBy("doc_id").agg(F.max("class").alias("class")), "teach"), "doc_id").select("text", F.col("class").cast("int").alias("class"))
+    sums = taught.mapInArrow(_text_counts, "kind long, bucket long, words long")
     table = sums.groupBy("kind", "bucket").agg(F.sum("words").alias("words")).toPandas()
     counts = np.zeros((2, 1 << BITS))
     counts[table.kind, table.bucket] = table.words
