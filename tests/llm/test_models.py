@@ -129,6 +129,15 @@ def test_text_view_counts_all(spark, monkeypatch):
     assert (ratios > 0.01).sum() >= 20 and (ratios < -0.01).sum() >= 20  # each word of its own class has a say
 
 
+def test_meta_view_keeps_all_sources(spark):
+    columns = [F.concat(F.lit("s"), F.floor(F.col("id") / 5)).alias("source"), F.lit("en").alias("lang"), *[F.lit("1").alias(c) for c in cotraining._LAYOUT]]
+    rows = spark.range(5 * 10_200).select((F.floor(F.col("id") / 5) % 2).cast("int").alias("class"), *columns)
+    scored = cotraining._with_meta_odds(rows, cotraining._fit_meta(rows))
+    got = scored.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("meta_odds").alias("low"), F.max("meta_odds").alias("high")).collect()
+    want = {0: -np.log(6), 1: np.log(6)}  # (5 + 1) to (0 + 1); the other features say nothing
+    assert all(r["n"] == 25_500 and np.isclose(r["low"], want[r["class"]]) and np.isclose(r["high"], want[r["class"]]) for r in got)
+
+
 def test_viterbi_chunks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     model = chat_format.Model(rng.integers(0, 9, chat_format.STATES).astype(float), rng.integers(0, 9, (chat_format.STATES,) * 2).astype(float), rng.integers(0, 9, (chat_format.STATES, chat_format.N_SYMBOLS)).astype(float))

@@ -12,8 +12,9 @@ odds are added, less the prior's, to score every document; ``kept`` is a score o
 which is low, so that a good document is rarely lost.
 
 The text view is fitted on all labelled and pseudo-labelled documents, which are joined to their
-classes by doc_id; the metadata view, the histograms and the scores cover all documents.  Models
-and histograms have fixed sizes; nothing else comes to the driver.  The first round has labels
+classes by doc_id; the metadata view, the histograms and the scores cover all documents.  The
+weights of sources and languages, however many, stay a table; all else that comes to the driver
+has a fixed size.  The first round has labels
 only, the others exchange pseudo-labels.
 
 Null text counts as empty.  A null doc_id is scored but never trained on; null source or language is
@@ -116,26 +117,30 @@ def _text_scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(of, "double")(F.col("text").cast("string")).alias("text_odds"))
 
 
-def _fit_meta(rows: DataFrame) -> dict[str, dict[str, float]]:
-    """Log ratio of each feature value; ``rows`` holds class and the features.  Values seen fewer than
-    five times, however many there are, share one weight of 0."""
+def _fit_meta(rows: DataFrame) -> DataFrame:
+    """(feature, value, weight): the log ratio of each feature value; ``rows`` holds class and the
+    features.  Values seen fewer than five times, however many there are, share one weight of 0."""
     pairs = rows.select("class", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in _META])))
     counts = pairs.groupBy("feature", "value").agg(F.count_if(F.col("class") == 1).alias("good"), F.count_if(F.col("class") == 0).alias("poor"))
-    common = counts.filter("good + poor >= 5").orderBy(F.desc(F.col("good") + F.col("poor")), "feature", "value").limit(10_000).collect()
     totals = rows.agg(F.count_if(F.col("class") == 1), F.count_if(F.col("class") == 0)).first()
-    out: dict[str, dict[str, float]] = {c: {} for c in _META}
-    for r in common:
-        out[r["feature"]][r["value"]] = float(np.log((r["good"] + SMOOTHING) / (totals[0] + 2 * SMOOTHING)) - np.log((r["poor"] + SMOOTHING) / (totals[1] + 2 * SMOOTHING)))
-    return out
+    good = F.log((F.col("good") + SMOOTHING) / (totals[0] + 2 * SMOOTHING))
+    poor = F.log((F.col("poor") + SMOOTHING) / (totals[1] + 2 * SMOOTHING))
+    return written(counts.filter("good + poor >= 5").select("feature", "value", (good - poor).alias("weight")), "meta")
 
 
-def _meta_odds(model: dict[str, dict[str, float]]) -> Column:
+def _with_meta_odds(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """The rows with ``meta_odds``; layout bands are few, sources and languages are joined."""
     total = F.lit(0.0)
-    for c in _META:
-        if model[c]:
-            weights = F.create_map(*[F.lit(x) for pair in sorted(model[c].items()) for x in pair])
-            total = total + F.coalesce(F.try_element_at(weights, F.col(c)), F.lit(0.0))
-    return total
+    layout: dict[str, dict[str, float]] = {}
+    for r in weights.filter(F.col("feature").isin(*_LAYOUT)).collect():
+        layout.setdefault(r["feature"], {})[r["value"]] = r["weight"]
+    for c, own in sorted(layout.items()):
+        table = F.create_map(*[F.lit(x) for pair in sorted(own.items()) for x in pair])
+        total = total + F.coalesce(F.try_element_at(table, F.col(c)), F.lit(0.0))
+    for c in ("source", "lang"):
+        rows = rows.join(weights.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("weight").alias(f"{c}_weight")), c, "left")
+        total = total + F.coalesce(f"{c}_weight", F.lit(0.0))
+    return rows.withColumn("meta_odds", total).drop("source_weight", "lang_weight")
 
 
 def _calibrated(rows: DataFrame, odds: str) -> tuple[float, float]:
@@ -183,7 +188,7 @@ def train_and_score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
         teach_meta = scored.withColumn("class", F.coalesce(own, verdict("text_odds", fit_text))).filter("class is not null")
         meta = _fit_meta(teach_meta)
         odds = written(_text_scores(docs, ratios).filter("doc_id is not null").groupBy("doc_id").agg(F.max("text_odds").alias("text_odds")), "text-odds")
-        scored = table.join(odds, "doc_id", "left").withColumns({"text_odds": F.coalesce("text_odds", F.lit(0.0)), "meta_odds": _meta_odds(meta)})
+        scored = _with_meta_odds(table.join(odds, "doc_id", "left").withColumn("text_odds", F.coalesce("text_odds", F.lit(0.0))), meta)
         scored = written(scored, "scored")
         held = scored.filter("label is not null and not trains")
         fit_text, fit_meta = _calibrated(held, "text_odds"), _calibrated(held, "meta_odds")
