@@ -85,3 +85,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{root.rstrip('/')}/veilwork-{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, read the same by all that follows."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
