@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, tune
-from . import chat_format, cotraining, exact_dedup, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, token_counts
+from . import chat_format, cotraining, exact_dedup, license_scan, line_dedup, mixing, ngram_join, piece_codec, prefix_trie, quality_rules, simhash, token_align, token_counts
 from .shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+BYTE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -86,6 +87,21 @@ def op10_license_scan(spark, sf):
     return license_scan.scan(table(spark, sf, "documents"))
 
 
+@query
+def op11_simhash(spark, sf):
+    return simhash.near_copies(table(spark, sf, "documents"), n=4)
+
+
+@query
+def op12_token_align(spark, sf):
+    return token_align.summary(table(spark, sf, "documents"), BYTE_JSON, PIECE_MODEL)
+
+
+@query
+def op13_prefix_trie(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
 def license_sql() -> str:
     """Dice of distinct word bigrams of lines and whole texts against the templates."""
     names = sorted(license_scan.TEMPLATES)
