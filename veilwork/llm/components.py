@@ -56,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(parents)
         # only tables on either side of a join: a vertex of very many edges is split at run time
         step = left.join(parents, left["a"] == parents["v"]).select(F.col("up").alias("a"), "b")
-        half = written(step.filter("a <> b").distinct(), "half")
+        half = written(step.distinct(), "half")
         step = half.alias("e").join(parents, F.col("e.b") == F.col("v")).select("e.a", F.col("up").alias("b"))
         step = step.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         following = written(step, "edges")
