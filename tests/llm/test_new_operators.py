@@ -183,6 +183,19 @@ def test_alignment_of_texts(spark):
         assert [(x.a, x.b) for x in row.links] == links, text
 
 
+def test_both_ways_to_encode_agree():
+    """All steady characters, alone and among others, and random strings of them."""
+    own = token_align.Pair(open(BYTE_JSON).read(), open(PIECE_MODEL, "rb").read())
+    assert own.quick is not None
+    steady = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
+    rng = random.Random(6)
+    texts = [a + b + a for a in steady for b in (" ", "a", "1", "!", "\n", "'s", "\u00a0")]
+    texts += ["".join(rng.choices(steady + list(" 'stremvld") * 12, k=rng.randrange(1, 40))) for _ in range(8000)]
+    assert all(token_align.STEADY.fullmatch(t) for t in texts)
+    assert own.encode_a(texts) == [e.ids for e in own.a.encode_batch(texts, add_special_tokens=False)]
+    assert not token_align.STEADY.fullmatch("\u0250") and not token_align.STEADY.fullmatch("a\u2028")
+
+
 @pytest.mark.parametrize("lane", [1, 3, 7, 512])
 def test_lanes_give_the_same_links(lane):
     import numpy as np

@@ -13,6 +13,9 @@ their documents (with the pairs they hold, as places in the batch's list of dist
 the lists are counted by Spark, joined with the counts and led back to the batch, where the sums of
 each document are formed.  The pairs that each A id holds most often need one small row per A id.
 
+A is the tokenizers library; texts whose characters all libraries class alike go through the several times faster
+merges of tiktoken with the same vocabulary, where the tokenizer's file shows that both do the same.
+
 Null and empty texts, and texts that either tokenizer does not give back byte by byte, have no tokens and
 zeros.  Repeated rows count as so many documents; a null doc_id stays; other columns are not looked at; an empty
 table gives an empty one.  Whole texts are taken, however long; one text is never split over batches.
@@ -21,13 +24,16 @@ table gives an empty one.  Whole texts are taken, however long; one text is neve
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +44,10 @@ LANE = 512
 BATCH = 4 << 20
 SLICE = 1 << 18
 MARK = "▁"
+# Fixed value: the pattern by which byte-level tokenizers split a text before they merge.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Letters, digits, spaces and punctuation here are the same in all versions of Unicode that libraries carry.
+STEADY = re.compile("[\\0-\u024f\u2010-\u2027]*")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -95,6 +105,24 @@ def merge(a_ends: np.ndarray, b_ends: np.ndarray, base: np.ndarray, lane: int =
     return np.concatenate(out_a)[order], np.concatenate(out_b)[order], np.sort(np.concatenate(cuts))
 
 
+def plain_merges(spec: dict, alphabet: dict[str, int]) -> dict[bytes, int] | None:
+    """The vocabulary as merge ranks, if the file describes nothing but merges in the order of their ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    known = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if spec.get("normalizer") or any(split.get(k) != v for k, v in known.items()) or model.get("type", "BPE") != "BPE":
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    ranks = {t: i for t, i in model["vocab"].items() if t not in added}
+    merged = [ranks.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"]]
+    first = len(ranks) - len(merged)
+    singles = {t for t, i in ranks.items() if i < first}
+    if merged != list(range(first, len(ranks))) or singles != set(alphabet):
+        return None
+    return {bytes(alphabet[c] for c in t): i for t, i in ranks.items()}
+
+
 class Pair:
     """Two tokenizers and the bytes of their tokens."""
 
@@ -106,6 +134,8 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_content)
         alphabet = byte_alphabet()
+        ranks = plain_merges(json.loads(json_content), alphabet)
+        self.quick = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -119,6 +149,12 @@ class Pair:
         self.shown = np.array([f"{i}{sign}" for sign in ",|;" for i in range(most)], f"S{width}")
         self.most = most
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        steady = [self.quick is not None and STEADY.fullmatch(t) is not None for t in texts]
+        rest = self.a.encode_batch_fast([t for t, quick in zip(texts, steady, strict=True) if not quick], add_special_tokens=False)
+        others = iter(rest)
+        return [self.quick.encode_ordinary(t) if quick else next(others).ids for t, quick in zip(texts, steady, strict=True)]
+
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both tokenizers; empty where the bytes do not come back from both."""
         a_ids = [np.zeros(0, np.int32)] * len(texts)
@@ -131,10 +167,10 @@ class Pair:
                 now.append(asked[at])
                 held += len(texts[asked[at]])
                 at += 1
-            found_a = self.a.encode_batch_fast([" " + texts[k] for k in now], add_special_tokens=False)
+            found_a = self.encode_a([" " + texts[k] for k in now])
             found_b = self.b.encode([texts[k] for k in now], num_threads=1)
-            for k, one, b in zip(now, found_a, found_b, strict=True):
-                content, a = b" " + texts[k].encode(), one.ids
+            for k, a, b in zip(now, found_a, found_b, strict=True):
+                content = b" " + texts[k].encode()
                 if b"".join(map(self.a_bytes.__getitem__, a)) == content and b"".join(map(self.b_bytes.__getitem__, b)) == content:
                     a_ids[k], b_ids[k] = np.array(a, np.int32), np.array(b, np.int32)
         return a_ids, b_ids
