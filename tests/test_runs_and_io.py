@@ -1,4 +1,5 @@
 import os
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -137,18 +138,12 @@ def test_lines_numbered(spark, tmp_path):
     assert [(r.row_index, r.line) for r in rows] == [(0, "a"), (2, "b"), (2, "c")]
 
 
-def test_episode_stream_over_batches(spark, tmp_path):
-    """Steps that arrive in several batches end up as in one, and nothing follows the last."""
-    steps = log(spark, ROWS).filter("error is null").withColumn("at", F.col("ts"))
-    half = F.col("event_id") % 100 < 2
-    folder = str(tmp_path / "in")
-    steps.filter(half).coalesce(1).write.parquet(folder)
-    first = streams.stream_table(spark, folder, "*.parquet", 1)
-    steps.filter(~half).coalesce(1).write.mode("append").parquet(folder)
-    for i, part in enumerate(sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime)):
-        os.utime(part, (1_000_000 + i * 100, 1_000_000 + i * 100))
-    found = {(r.episode_id, r.event_id, r.step, r.done) for r in streams.drain(streams.episode_stream(first), "test").collect()}
-    assert found == {(r.episode_id, r.event_id, r.step, r.done) for r in accepted(steps).collect()}
+def test_episode_stream_equals_the_batch(spark):
+    """Steps that arrive out of order in several batches end up as in one, and nothing follows the last."""
+    steps = log(spark, ROWS).filter("error is null").select("episode_id", "event_id", "max_steps", "reward", (F.col("ts") + F.expr("interval 1 day")).alias("at"))
+    feed = streams.arrivals(steps, "at", "test", timedelta(seconds=60), timedelta(seconds=60))
+    found = {(r.episode_id, r.event_id, r.step, r.done) for r in streams.drain(streams.episode_stream(feed, "2 minutes"), "test").collect()}
+    assert found == {(r.episode_id, r.event_id, r.step, r.done) for r in accepted(log(spark, ROWS)).collect()}
 
 
 def test_until_done_takes_its_bound_from_the_frame(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -684,8 +685,19 @@ def leak_counts_stream(spark, sf):
     return streams.drain_complete(counts, "leaks").withColumn("window_start", shown)
 
 
+@query
+def leak_counts_closed(spark, sf):
+    """The same in append mode, over rows that arrive out of order: each window once, when it is closed."""
+    feed = streams.arrivals(inputs.masked_chat(inputs.chat(table(spark, sf, "events"))), "ts", "leak-arrivals")
+    counts = streams.leak_counts_stream(feed, "line", "ts", watermark="17 days", by=("event_type",))
+    shown = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    return streams.drain(counts, "leaks-closed").withColumn("window_start", shown)
+
+
 @query
 def episode_stream(spark, sf):
-    log = inputs.steps(streams.stream_table(spark, sf, "events.parquet")).filter("error is null")
-    accepted = streams.episode_stream(log.withColumn("at", F.col("ts").cast("timestamp")))
+    """Steps that arrive out of order over several micro-batches."""
+    log = inputs.steps(table(spark, sf, "events")).filter("error is null")
+    feed = streams.arrivals(log.select("episode_id", "event_id", "ts", "max_steps", "reward"), "ts", "step-arrivals")
+    accepted = streams.episode_stream(feed.withColumn("at", F.col("ts").cast("timestamp")), "17 days", timedelta(days=366))
     return streams.drain(accepted, "episodes").select("episode_id", "event_id", "step", "done", "last_reward")

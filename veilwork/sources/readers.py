@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import FLOOR, is_blank, splitlines, strip
 from ..operators.align import with_file_position
 from ..operators.rows import text_lines
+from .csv_ranges import csv_rows
 
 CORRUPT = "_corrupt_record"
 
@@ -23,27 +24,29 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_table_csv(
-    spark: SparkSession, path: str, header: list[str] | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, header: list[str] | None = None, multi_line: bool = True, position: str | None = None
 ) -> DataFrame:
     """CSV with a header as strings; blank cells are ``''``.
 
     Rows with too few or too many cells keep their text in ``_corrupt_record``, which is
-    NULL for proper rows.  Give ``header`` to spare the look at the first line, and
-    ``multi_line=False`` when no cell holds a line end: only then can a file be split.
+    NULL for proper rows.  Give ``header`` to spare the look at the first line.  Files are read in byte
+    ranges; ``multi_line=False``, for files where no cell holds a line end, spares the pass that
+    finds the ends of rows.  ``position`` names a column for the place of a row in file order, from 0.
     """
     names = csv_header(spark, path) if header is None else header
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", True)
-        .csv(path)
-    )
-    return raw.fillna("", subset=names) if names else raw
+    options = {"multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if not names:
+        empty = spark.createDataFrame([], schema)
+        return empty.withColumn(position, F.lit(0).cast("long")) if position else empty
+    if multi_line or position:
+        rows = csv_rows(spark, path)
+        shape = ", ".join("`{}` string".format(f.replace("`", "``")) for f in schema.names)
+        parsed = rows.select(*([F.col("row_index").alias(position)] if position else []), F.from_csv("text", shape, options).alias("_row"))
+        raw = parsed.select("_row.*", *([position] if position else []))
+    else:
+        raw = spark.read.schema(schema).options(**(options | {"multiLine": False})).option("header", True).option("enforceSchema", True).csv(path)
+    return raw.fillna("", subset=names)
 
 
 def read_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.detect import count_pii
 from ..functions.mask import mask
@@ -63,12 +65,13 @@ STEP_SCHEMA = (
 )
 _INPUT = ["episode_id", "at", "event_id", "max_steps", "reward"]
 _ORDER = ["at", "event_id"]
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _earliest(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of each episode that can still be steps."""
+    """The rows of each episode that can still be steps; rows without an episode stay, as they move the watermark."""
     rows = rows.sort_values(_ORDER, kind="stable")
-    return rows[rows.groupby("episode_id", sort=False).cumcount() < rows["max_steps"]]
+    return rows[rows["episode_id"].isna() | (rows.groupby("episode_id", sort=False, dropna=False).cumcount() < rows["max_steps"])]
 
 
 def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,49 +79,148 @@ def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _earliest(rows)
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    taken, done, last = state.get if state.exists else (0, False, None)
-    rows = None
-    if not done:
-        for batch in batches:
-            rows = _earliest(batch if rows is None else pd.concat([rows, batch]))
-    out = []
-    for row in () if rows is None else rows.itertuples(index=False):
-        taken += 1
-        reward = None if pd.isna(row.reward) else float(row.reward)
-        last = last if reward is None else reward
-        done = taken >= row.max_steps or (reward is not None and reward >= FINAL_REWARD)
-        out.append((*key, row.at, row.event_id, row.max_steps, reward, taken, done, last))
-        if done:
-            break
-    state.update((taken, done, last))
-    if out:
-        yield pd.DataFrame(out, columns=[*_INPUT, "step", "done", "last_reward"])
-
-
-def episode_stream(stream: DataFrame) -> DataFrame:
-    """Accepted steps of each episode as they arrive, with ``step``, ``done`` and ``last_reward``.
-
-    Needs ``(episode_id, at, event_id, max_steps, reward)``.  Within a micro-batch steps are
-    put in order; across micro-batches the log is expected to arrive in order, as an
-    append-only log does.  The state of an episode is a step count, a flag and a reward.
+class EpisodeSteps(StatefulProcessor):
+    """Numbers an episode's steps in order of time, whatever the order in which they arrive.
+
+    ``waiting`` holds the steps that later arrivals could still precede; of those only as many as the
+    episode has steps left.  A timer at the earliest of them fires when the watermark has passed it: what the
+    watermark has passed is in its final order and is put out.  ``known`` holds the number of steps so far, whether the episode is
+    over, the last reward, and the time of the last step; ``idle`` after that time both states go.
+    """
+
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "taken int, done boolean, last double, upto long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, max_steps int, reward double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        taken, done, _, upto = self._known()
+        if upto is not None and upto + self.idle_us <= timerValues.getCurrentWatermarkInMs() * 1000 and not self.waiting.exists():
+            self.known.clear()  # its timer fires with this batch
+            taken, done = 0, False
+        if not done and key[0] is not None:
+            held = [tuple(r) for r in self.waiting.get()]
+            before = {r[:2] for r in held[:1]}
+            for part in rows:
+                times = part["at"].astype("int64") // _per_us(part["at"])
+                rewards = (None if pd.isna(r) else float(r) for r in part["reward"])
+                held += zip(times.tolist(), part["event_id"].tolist(), part["max_steps"].tolist(), rewards, strict=True)
+                # of equal rows all are steps, as in a table
+                held.sort(key=lambda r: r[:2])
+                held = [r for k, r in enumerate(held) if taken + k < r[2]]
+            if held:
+                self.waiting.put(held)
+                if held[0][:2] not in before:
+                    self._wake(held[0][0])
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        taken, done, last, upto = self._known()
+        held = [] if done else [tuple(r) for r in self.waiting.get()]
+        out = []
+        while held and held[0][0] <= passed and not done:
+            at, event_id, max_steps, reward = held.pop(0)
+            taken, upto = taken + 1, at
+            last = last if reward is None else reward
+            done = taken >= max_steps or (reward is not None and reward >= FINAL_REWARD)
+            out.append((*key, pd.Timestamp(at, unit="us"), event_id, max_steps, reward, taken, done, last))
+        if out:
+            self.known.update((taken, done, last, upto))
+        if done or not held:
+            self.waiting.clear()
+            if upto is not None and upto + self.idle_us <= passed:
+                self.known.clear()
+            elif out:
+                self._wake(upto + self.idle_us)
+        elif out:
+            self.waiting.put(held)
+            self._wake(held[0][0])
+        if out:
+            yield pd.DataFrame(out, columns=[*_INPUT, "step", "done", "last_reward"]).astype({"last_reward": "float64", "reward": "float64"})
+
+    def close(self) -> None:
+        pass
+
+    def _known(self) -> tuple:
+        return tuple(self.known.get()) if self.known.exists() else (0, False, None, None)
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
+
+
+def _per_us(times: pd.Series) -> int:
+    """How many units of a time column make a microsecond."""
+    return {"ns": 1000, "us": 1}[times.dt.unit]
+
+
+def episode_stream(stream: DataFrame, delay: str = "1 hour", idle: timedelta = timedelta(days=30)) -> DataFrame:
+    """Accepted steps of each episode, with ``step``, ``done`` and ``last_reward``, in order of ``at`` and ``event_id``.
+
+    Needs ``(episode_id, at, event_id, max_steps, reward)``.  Steps may arrive in any order that is not
+    off by more than ``delay``: a step is put out once the watermark, which follows the latest ``at`` by
+    that much, has passed it.  Rows that arrive behind the watermark are left out and counted
+    (``late_rows``).  Rows without an episode, such as heartbeats, only move the watermark.
+
+    An episode's state is at most ``max_steps`` waiting steps and four values.  It goes when the watermark has passed
+    the last step by ``idle``, finished or not.  Ids are meant to be used once: rows of an id that arrive after that
+    begin a new episode.
 
     No episode has more than its ``max_steps`` steps, so each input batch is cut to that many of
     the earliest rows of every episode before the shuffle; an episode with very many rows sends
-    only those to its task.
+    only those to its task.  What a row that is cut stands behind are as many earlier rows, so it is no step.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     cut = stream.select(*_INPUT).mapInPandas(_cut_batches, stream.select(*_INPUT).schema)
-    return cut.groupBy("episode_id").applyInPandasWithState(
-        _advance,
+    return cut.withWatermark("at", delay).groupBy("episode_id").transformWithStateInPandas(
+        EpisodeSteps(idle // timedelta(microseconds=1)),
         outputStructType=STEP_SCHEMA,
-        stateStructType="taken int, done boolean, last double",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        outputMode="Append",
+        timeMode="eventTime",
     )
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Process everything that is there now into a new folder and read it back (append mode)."""
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows came behind the watermark of a query and were left out."""
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """How many rows the state of a query holds after its last batch."""
+    last = query.lastProgress
+    return sum(op.numRowsTotal for op in last.stateOperators) if last else 0
+
+
+def arrivals(
+    rows: DataFrame, ts: str, label: str, stretch: timedelta = timedelta(days=16), disorder: timedelta = timedelta(hours=6), files: int = 4
+) -> DataFrame:
+    """The rows of a table as a stream of micro-batches, out of order by up to ``disorder``.
+
+    A row arrives at its time plus a share of ``disorder`` that is drawn by its content; what arrives within a
+    ``stretch`` is written together, as up to ``files`` files, and read in one micro-batch or two.  So no row is
+    late for a watermark with a delay of ``stretch + disorder``.  A last file holds a heartbeat: a row of nulls, ten
+    years later, that lets the watermark pass all rows.
+    """
+    spark = rows.sparkSession
+    folder = scratch_dir(spark, label)
+    micros = timedelta(microseconds=1)
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) / float(1 << 20)
+    arrival = F.unix_micros(F.col(ts).cast("timestamp")) + share * (disorder // micros)
+    placed = rows.withColumn("_stretch", F.floor(arrival / (stretch // micros)))
+    first, last = placed.agg(F.min("_stretch"), F.max("_stretch")).first()
+    for k in [] if first is None else range(first, last + 1):
+        placed.filter(F.col("_stretch") == k).drop("_stretch").repartition(files).write.mode("append").parquet(folder)
+    ahead = F.timestamp_micros(F.lit(((last or 0) + 1) * (stretch // micros) + timedelta(days=3650) // micros)).cast(rows.schema[ts].dataType)
+    beat = spark.range(1).select(*[(ahead if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema.fields])
+    beat.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def drained(stream: DataFrame, label: str) -> tuple[DataFrame, StreamingQuery]:
+    """Process everything that is there now into a new folder (append mode): what came out, and the ended query."""
     spark = stream.sparkSession
     root = scratch_dir(spark, label)
     query = (
@@ -129,7 +231,12 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         .start(f"{root}/out")
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out"), query
+
+
+def drain(stream: DataFrame, label: str) -> DataFrame:
+    """Process everything that is there now into a new folder and read it back (append mode)."""
+    return drained(stream, label)[0]
 
 
 def drain_complete(stream: DataFrame, label: str) -> DataFrame:
