@@ -66,7 +66,7 @@ def test_averages_of_averages(spark):
 
 def test_running_total(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") % 5).alias("v"))
-    found = windows.running_total(df, "g", "id", "v", "total", chunk=64)
+    found = windows.running_total(df, "g", "id", "v", "total")
     expected, sums = {}, {}
     for i in range(1000):
         sums[i % 3] = sums.get(i % 3, 0) + i % 5

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import PROTECTED_COLUMNS, TOKENS, TokenRule
 from ..functions.text import strip
 from .nested import json_leaves, json_nodes, lookup_path
+from .ordered import numbered
 from .rows import token_probes, token_rows
 
 
@@ -16,29 +17,9 @@ def protected_columns(df: DataFrame, protected: tuple[str, ...] = PROTECTED_COLU
     return [name for name in df.columns if name in protected]
 
 
-def with_rank(df: DataFrame, order: str, name: str = "row_index", chunk: int = 1 << 20) -> DataFrame:
-    """Position from 0 by a unique integer column, without sorting everything in one task.
-
-    Rows fall into chunks of the order column.  A chunk holds a bounded number of rows,
-    since the column is unique; each row's position is its place in the chunk plus the
-    number of rows in the chunks before.
-    """
-    part = F.expr(f"`{order}` div {chunk}").alias("_chunk")
-    sizes = df.groupBy(part).agg(F.count("*").alias("_size"))
-    offsets = sizes.select(
-        "_chunk",
-        F.expr("sum(_size) over (order by _chunk rows between unbounded preceding and current row) - _size").alias(
-            "_before"
-        ),
-    )
-    placed = df.withColumn("_chunk", part).withColumn(
-        "_place", F.expr(f"row_number() over (partition by _chunk order by `{order}`) - 1")
-    )
-    return (
-        placed.join(offsets, "_chunk")
-        .withColumn(name, (F.col("_before") + F.col("_place")).cast("long"))
-        .drop("_chunk", "_place", "_before")
-    )
+def with_rank(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
+    """Position from 0 by any column, in slices of the order that Spark deals out by samples."""
+    return numbered(df, [order], name=name)
 
 
 def with_file_position(df: DataFrame, name: str = "row_index") -> DataFrame:

@@ -25,13 +25,13 @@ _NODE_COLUMNS = "path string, value string, is_key boolean, is_text boolean, add
 NODE_TYPE = f"array<struct<{_NODE_COLUMNS.replace(' string', ':string').replace(' boolean', ':boolean')}>>"
 
 # A key that a path string cannot address: empty, all digits, with a dot or an index.
-_ODD_KEY = re.compile(r"^$|^\d+$|\.|\[\d+\]")
+ODD_KEY = re.compile(r"^$|^\d+$|\.|\[\d+\]")
 
 
 def clean_names(dtype: T.DataType) -> bool:
     """True when every key is a fixed, addressable name, so that paths are unique."""
     if isinstance(dtype, T.StructType):
-        return all(not _ODD_KEY.search(f.name) and clean_names(f.dataType) for f in dtype.fields)
+        return all(not ODD_KEY.search(f.name) and clean_names(f.dataType) for f in dtype.fields)
     if isinstance(dtype, T.ArrayType):
         return clean_names(dtype.elementType)
     return not isinstance(dtype, T.MapType)
@@ -66,11 +66,11 @@ class _Place:
         return (f"case when {self.path} = '' then '' else concat({self.path}, '.') end",)
 
     def field(self, name: str) -> _Place:
-        checks = self.checks + (("false",) if _ODD_KEY.search(name) else ())
+        checks = self.checks + (("false",) if ODD_KEY.search(name) else ())
         return _Place(_joined(self._under(), _text(name)), checks, is_key=True)
 
     def entry(self, key: str) -> _Place:
-        odd = f"not rlike({key}, {_text(_ODD_KEY.pattern)})"
+        odd = f"not rlike({key}, {_text(ODD_KEY.pattern)})"
         return _Place((*self._under(), key), (*self.checks, odd), is_key=True)
 
     def item(self, index: str) -> _Place:
@@ -148,7 +148,7 @@ def _steps(value: Any, path: str, good: bool) -> Iterator[tuple[str, Any, bool,
     """Keys and strings below a parsed document as ``(path, value, is_key, addressable)``."""
     if isinstance(value, dict):
         for name, child in value.items():
-            at, fine = f"{path}.{name}" if path else name, good and not _ODD_KEY.search(name)
+            at, fine = f"{path}.{name}" if path else name, good and not ODD_KEY.search(name)
             yield at, child, True, fine
             if isinstance(child, (dict, list)):
                 yield from _steps(child, at, fine)
@@ -162,6 +162,14 @@ def _steps(value: Any, path: str, good: bool) -> Iterator[tuple[str, Any, bool,
         yield path, value, False, good
 
 
+def _from(value: Any, path: str, good: bool, is_key: bool) -> Iterator[tuple[str, Any, bool, bool]]:
+    """The same for a value that sits at ``path``, by a key or not."""
+    if is_key:
+        yield path, value, True, good
+    if not is_key or isinstance(value, (dict, list)):
+        yield from _steps(value, path, good)
+
+
 _CHUNK = 50_000
 
 
@@ -173,10 +181,10 @@ def _walk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     rows: list[tuple] = []
     for batch in batches:
-        for key, text in zip(batch["key"], batch["doc"], strict=True):
+        for key, text, at, fine, named in zip(*(batch[c] for c in ("key", "doc", "at", "fine", "named")), strict=True):
             try:
                 doc = json.loads(text) if text is not None else None
-                nodes = [] if text is None else list(_steps(doc, "", True))
+                nodes = [] if text is None else list(_from(doc, at, fine, named))
             except (ValueError, RecursionError):
                 nodes, text = [], None
             rows.append((key, None, None, False, False, True, text is None))
@@ -190,14 +198,19 @@ def _walk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame(rows)
 
 
-def text_nodes(docs: DataFrame, key: str, column: str) -> DataFrame:
+def text_nodes(docs: DataFrame, key: str, column: str, within: tuple[str, str, str] | None = None) -> DataFrame:
     """Nodes of documents without a schema, plus a row with no path per document.
 
+    ``within`` names columns for texts that are parts of documents: the path of the part, whether it is
+    addressable, and whether it sits at a key.
+
     One pass without a shuffle, on Arrow batches.  A recursive query could do the same,
     but it keeps every level of every document.  JSON is read as Python reads it: the
     last of several equal keys wins.
     """
-    keyed = docs.select(F.col(key).alias("key"), F.col(f"`{column}`").cast("string").alias("doc"))
+    place = [F.lit(""), F.lit(True), F.lit(False)] if within is None else [F.col(c) for c in within]
+    named = (c.alias(n) for c, n in zip(place, ("at", "fine", "named"), strict=True))
+    keyed = docs.select(F.col(key).alias("key"), F.col(f"`{column}`").cast("string").alias("doc"), *named)
     kind = keyed.schema["key"].dataType.simpleString()
     walked = keyed.mapInPandas(_walk_texts, f"key {kind}, {_NODE_COLUMNS}, malformed boolean")
     return walked.withColumnRenamed("key", key)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordered import running_sum
+
 FINAL_REWARD = 0.99
 
 
@@ -48,27 +50,9 @@ def last_reward(steps: DataFrame, episode: str, reward: str = "reward", name: st
     return steps.withColumn(name, F.last(reward, ignorenulls=True).over(upto))
 
 
-def running_total(
-    df: DataFrame, group: str, order: str, value: str, name: str, chunk: int = 1 << 16
-) -> DataFrame:
-    """Running sum of ``value`` within ``group`` by a unique integer ``order`` column.
-
-    Sums run within chunks of a bounded number of rows and are shifted by the totals of
-    the chunks before, so that not even a single group has to fit one task.
-    """
-    chunked = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))
-    totals = chunked.groupBy(group, "_chunk").agg(F.sum(value).alias("_total"))
-    before = F.coalesce(
-        F.sum("_total").over(W.partitionBy(group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
-    offsets = totals.select(group, "_chunk", before.alias("_before"))
-    upto = W.partitionBy(group, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        chunked.withColumn("_within", F.sum(value).over(upto))
-        .join(offsets, [group, "_chunk"])
-        .withColumn(name, F.col("_before") + F.col("_within"))
-        .drop("_chunk", "_before", "_within")
-    )
+def running_total(df: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
+    """Running sum of ``value`` within ``group`` by any ``order`` column; not even a single group has to fit one task."""
+    return running_sum(df, [order], value, [group], name)
 
 
 def last_value(df: DataFrame, group: str, value: str, order: str, name: str = "last_value") -> DataFrame:

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +25,9 @@ from ..operators import align
 from ..operators.nested import clean_names, has_schema, json_nodes, lookup_path, node_array, text_nodes
 from ..operators.rows import token_probes, token_rows
 from ..operators.runs import TASKS
-from ..sources.readers import CORRUPT, path_exists, read_json_docs, read_table_csv, read_text
+from ..session import stored
+from ..sources.json_ranges import json_file_nodes
+from ..sources.readers import CORRUPT, path_exists, read_table_csv, read_text, unreadable
 
 # Weights of the components; ``constant`` is always earned.
 TABLE_WEIGHTS = {"removal": 0.50, "structure": 0.25, "preservation": 0.25}
@@ -112,14 +116,15 @@ def validate_table(
     compared = F.col("b_rows") > 0
     if by == "position":
         compared = compared & (F.col("c_rows") > 0)
-    sums = pairs.groupBy("group").agg(
+    # without a key an empty pair is a result too
+    sums = (pairs.groupBy("group") if key else pairs).agg(
         _zero(F.sum("b_cc")).alias("baseline_matches"),
         _zero(F.sum("c_cc")).alias("candidate_matches"),
-        F.sum("b_rows").alias("baseline_rows"),
-        F.sum("c_rows").alias("candidate_rows"),
+        _zero(F.sum("b_rows")).alias("baseline_rows"),
+        _zero(F.sum("c_rows")).alias("candidate_rows"),
         (F.count_if(compared) * len(columns)).alias("cells_compared"),
         _zero(F.sum(F.when(compared, equal))).alias("cells_equal"),
-        F.bool_or("ragged").alias("ragged"),
+        F.coalesce(F.bool_or("ragged"), F.lit(False)).alias("ragged"),
     )
     either_empty = (F.col("baseline_rows") == 0) | (F.col("candidate_rows") == 0)
     result = sums.select(
@@ -191,8 +196,8 @@ def validate_text(
         F.bool_or(base).alias("in_base"), F.bool_or(~base).alias("in_cand"), *(c.alias(n) for n, c in sums.items())
     )
     is_token = F.col("token").isNotNull() & F.col("in_base")
-    joined = items.groupBy("key").agg(
-        *(F.sum(n).alias(n) for n in sums),
+    joined = (items.groupBy("key") if key else items).agg(
+        *(_zero(F.sum(n)).alias(n) for n in sums),
         F.count_if(is_token).alias("n_tokens"),
         F.count_if(is_token & F.col("in_cand")).alias("n_survived"),
     ).withColumnRenamed("candidate_formatted", "formatted_lines")
@@ -243,9 +248,12 @@ def _doc_measures(docs: DataFrame, key: str, column: str, rules: RuleSet, side:
     )
     total = F.aggregate("leaves", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     kept = F.col("leaves") if side == "c" else F.filter("leaves", lambda x: x["n"] == 0)
+    # the join sorts by key anyway; a document of a key that comes again counts for nothing
+    same = W.partitionBy(key).orderBy(key)
+    measured = measured.withColumns({f"{side}_docs": F.count(F.lit(1)).over(W.partitionBy(key)), "nth": F.row_number().over(same)}).filter("nth = 1")
     return measured.select(
         key,
-        F.lit(True).alias(f"{side}_seen"),
+        f"{side}_docs",
         f"{side}_null",
         f"{side}_paths",
         F.when(~F.col(f"{side}_null"), total).alias(f"{side}_matches"),
@@ -263,6 +271,9 @@ def _validate_documents(baseline: DataFrame, candidate: DataFrame, key: str, col
         _doc_measures(candidate, key, column, rules, "c").hint("merge"), key, "left"
     )
     size = lambda c: _zero(F.size(c).cast("long"))
+    repeated = F.greatest("b_docs", F.coalesce("c_docs", F.lit(1))) > 1
+    arrays = [n for n in both.columns if n.endswith(("_matches", "_paths", "_leaves"))]
+    both = both.withColumns({n: F.when(~repeated, F.col(n)) for n in arrays})
     counts = both.select(
         key,
         _zero(F.col("b_matches")).alias("baseline_matches"),
@@ -272,7 +283,7 @@ def _validate_documents(baseline: DataFrame, candidate: DataFrame, key: str, col
         size(F.col("b_leaves")).alias("n_values"),
         size(F.array_intersect("b_leaves", "c_leaves")).alias("n_preserved"),
         _status(
-            (F.col("c_seen").isNull(), "missing"), (F.col("b_null") | F.col("c_null"), "malformed")
+            (F.col("c_docs").isNull(), "missing"), (repeated, "repeated"), (F.col("b_null") | F.col("c_null"), "malformed")
         ).alias("status"),
     )
     return _json_result(counts, key)
@@ -281,38 +292,43 @@ def _validate_documents(baseline: DataFrame, candidate: DataFrame, key: str, col
 _LEAF_SUMS = ("key_b", "key_c", "clean_b", "found_c", "pii_b", "pii_c", "seen_b", "seen_c", "bad")
 
 
-def _leaf_rows(docs: DataFrame, key: str, column: str, rules: RuleSet, side: str) -> DataFrame:
-    """Key paths, leaves and one marker row per document as ``(key, at, text, counts...)``.
+def _leaf_row(at: Column, text: Column, **counts: Column) -> Column:
+    sums = (counts.get(n, F.lit(0).cast("long")).alias(n) for n in _LEAF_SUMS)
+    return F.struct(at.alias("at"), text.alias("text"), *sums)
+
+
+def _seen(side: str, bad: Column) -> Column:
+    nothing = F.lit(None).cast("string")
+    return _leaf_row(nothing, nothing, **{f"seen_{side}": F.lit(1).cast("long"), "bad": bad.cast("long")})
+
+
+def _node_rows(nodes: DataFrame, key: str, rules: RuleSet, side: str, marked: bool) -> DataFrame:
+    """Key paths, leaves and, where nodes come ``marked``, one marker row per document as ``(key, at, text, counts...)``.
 
     Baseline leaves stand where the candidate is looked up; candidate leaves stand where
     they can be found.
     """
     v, path, one = F.col("value"), F.col("path"), F.lit(1).cast("long")
-
-    def row(at: Column, text: Column, **counts: Column) -> Column:
-        sums = (counts.get(n, F.lit(0).cast("long")).alias(n) for n in _LEAF_SUMS)
-        return F.struct(at.alias("at"), text.alias("text"), *sums)
-
     nothing = F.lit(None).cast("string")
     n_pii = count_pii(v, rules)
     if side == "b":
         clean = (n_pii == 0).cast("long")
-        leaf = row(lookup_path(path, F.col("addressable")), strip(v), clean_b=clean, pii_b=n_pii)
-        name = row(path, nothing, key_b=one)
+        leaf = _leaf_row(lookup_path(path, F.col("addressable")), strip(v), clean_b=clean, pii_b=n_pii)
+        name = _leaf_row(path, nothing, key_b=one)
     else:
-        leaf = row(path, strip(v), found_c=F.col("addressable").cast("long"), pii_c=n_pii)
-        name = row(path, nothing, key_c=one)
-    seen = lambda bad: row(nothing, nothing, **{f"seen_{side}": one, "bad": bad.cast("long")})
+        leaf = _leaf_row(path, strip(v), found_c=F.col("addressable").cast("long"), pii_c=n_pii)
+        name = _leaf_row(path, nothing, key_c=one)
+    rows = [F.when(F.col("is_key"), name), F.when(F.col("is_text"), leaf)]
+    if marked:
+        rows.append(F.when(path.isNull(), _seen(side, F.col("malformed"))))
+    return nodes.select(F.col(key).alias("key"), F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
 
-    def present(*rows: Column) -> Column:
-        return F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull()))
 
-    parts = F.when(F.col("is_key"), name), F.when(F.col("is_text"), leaf)
+def _leaf_rows(docs: DataFrame, key: str, column: str, rules: RuleSet, side: str) -> DataFrame:
     if not has_schema(docs, column):
-        marker = F.when(path.isNull(), seen(F.col("malformed")))
-        return text_nodes(docs, key, column).select(F.col(key).alias("key"), present(*parts, marker))
-    nodes = json_nodes(docs, key, column).select(F.col(key).alias("key"), present(*parts))
-    markers = docs.select(F.col(key).alias("key"), F.inline(F.array(seen(F.col(f"`{column}`").isNull()))))
+        return _node_rows(text_nodes(docs, key, column), key, rules, side, True)
+    nodes = _node_rows(json_nodes(docs, key, column), key, rules, side, False)
+    markers = docs.select(F.col(key).alias("key"), F.inline(F.array(_seen(side, F.col(f"`{column}`").isNull()))))
     return nodes.unionAll(markers)
 
 
@@ -322,7 +338,13 @@ def _validate_leaves(baseline: DataFrame, candidate: DataFrame, key: str, column
     Each side is walked once.  Grouping by ``(key, path, text)`` spreads even a single huge
     document over all tasks, and only counts go on to the grouping by document.
     """
-    both = _leaf_rows(baseline, key, column, rules, "b").unionAll(_leaf_rows(candidate, key, column, rules, "c"))
+    return _compared_leaves(
+        _leaf_rows(baseline, key, column, rules, "b"), _leaf_rows(candidate, key, column, rules, "c"), key
+    )
+
+
+def _compared_leaves(baseline: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
+    both = baseline.unionAll(candidate)
     places = both.groupBy("key", "at", "text").agg(*(F.sum(n).alias(n) for n in _LEAF_SUMS))
     n = F.col
     docs = places.groupBy("key").agg(
@@ -336,10 +358,11 @@ def _validate_leaves(baseline: DataFrame, candidate: DataFrame, key: str, column
         F.sum("seen_c").alias("seen_c"),
         F.sum("bad").alias("bad"),
     )
+    repeated = F.greatest("seen_b", "seen_c") > 1
     counts = docs.filter("seen_b > 0").select(
         F.col("key").alias(key),
-        *JSON_COUNTS,
-        _status((n("seen_c") == 0, "missing"), (n("bad") > 0, "malformed")).alias("status"),
+        *(F.when(repeated, 0).otherwise(F.col(c)).cast("long").alias(c) for c in JSON_COUNTS),
+        _status((n("seen_c") == 0, "missing"), (repeated, "repeated"), (n("bad") > 0, "malformed")).alias("status"),
     )
     return _json_result(counts, key)
 
@@ -347,17 +370,23 @@ def _validate_leaves(baseline: DataFrame, candidate: DataFrame, key: str, column
 def validate_json(
     baseline: DataFrame,
     candidate: DataFrame,
-    key: str,
+    key: str | None = None,
     column: str = "doc",
     rules: RuleSet = CORE,
     strategy: str | None = None,
 ) -> DataFrame:
     """Verify masked nested documents, one row per document.
 
+    Without a ``key`` each side is one document, and the result has one row.  A key is expected once on
+    each side; one that comes more often has the status ``repeated`` and the lowest score.
+
     ``strategy`` is ``documents`` (compare within one row per document; needs a schema with
     plain key names) or ``leaves`` (leaves as rows: any shape, and documents of any
     size).  By default the first wherever it applies.
     """
+    if key is None:
+        sides = (df.select(F.lit(0).alias("_one"), F.col(f"`{column}`")) for df in (baseline, candidate))
+        return validate_json(*sides, "_one", column, rules, strategy).drop("_one")
     types = [df.schema[column].dataType for df in (baseline, candidate)]
     plain = all(not isinstance(t, (T.StringType, T.VariantType)) and clean_names(t) for t in types)
     chosen = strategy or ("documents" if plain else "leaves")
@@ -372,6 +401,18 @@ def validate_json(
 VALIDATORS: dict[str, Validator] = {"easy": validate_table, "medium": validate_text, "hard": validate_json}
 
 
+def validate_json_files(spark: SparkSession, baseline: str, candidate: str, rules: RuleSet = CORE) -> DataFrame:
+    """Verify one masked JSON file of any size; files are read in byte ranges, never as a whole."""
+    sides = []
+    for side, path in (("b", baseline), ("c", candidate)):
+        nodes = json_file_nodes(spark, path).withColumn("file", F.lit(0))
+        empty = spark.range(1).select(F.lit(0).alias("key"), F.inline(F.array(_seen(side, F.lit(True)))))
+        read = _node_rows(nodes, "file", rules, side, True)
+        # a file without a byte has no blocks, and is malformed
+        sides.append(read if not nodes.isEmpty() else empty)
+    return _compared_leaves(*sides, "key").drop("key")
+
+
 def register_validator(name: str, validator: Validator) -> None:
     VALIDATORS[name] = validator
 
@@ -385,17 +426,17 @@ def _one_row(spark: SparkSession, dataset: str, status: str) -> DataFrame:
 def validate_many(spark: SparkSession, jobs: dict[str, tuple[str, tuple, dict]]) -> DataFrame:
     """Run ``{dataset: (validator name, arguments, options)}`` and stack ``(dataset, ..., score, status)``.
 
-    A dataset whose plan cannot be built (missing column, unknown validator) takes the
-    lowest score and leaves the others alone.
+    Each dataset is run on its own and its few result rows are written; one that cannot be planned (missing column,
+    unknown validator) or that fails while it runs takes the lowest score and leaves the others alone.
     """
     parts = []
     for dataset, (name, args, options) in jobs.items():
         try:
             result = VALIDATORS[name](*args, **options)
-            group = options.get("key") or (result.columns[0] if name == "hard" else None)
+            group = options.get("key") or (result.columns[0] if name == "hard" and len(args) > 2 else None)
             label = F.col(group).cast("string") if group else F.lit(None).cast("string")
-            parts.append(result.select(F.lit(dataset).alias("dataset"), label.alias("key"), "score", "status"))
-        except (AnalysisException, KeyError, ValueError):
+            parts.append(stored(result.select(F.lit(dataset).alias("dataset"), label.alias("key"), "score", "status"), "scores"))
+        except (PySparkException, Py4JJavaError, KeyError, ValueError, TypeError):
             row = _one_row(spark, dataset, "error")
             parts.append(row.select("dataset", F.lit(None).cast("string").alias("key"), "score", "status"))
     return reduce(DataFrame.unionAll, parts)
@@ -409,7 +450,7 @@ def score_violations(results: DataFrame) -> DataFrame:
 def validate_files(spark: SparkSession, task_id: str, workspace_dir: str, baseline_dir: str) -> DataFrame:
     """Verify a workspace folder against a baseline folder: one row ``(dataset, score, status)``.
 
-    A missing or malformed file takes the lowest score.  Table rows are paired by
+    A file that is missing, malformed or not UTF-8 takes the lowest score.  Table rows are paired by
     their position in the file.
     """
     name = next(file for task, _, file, _ in TASKS if task == task_id)
@@ -417,17 +458,23 @@ def validate_files(spark: SparkSession, task_id: str, workspace_dir: str, baseli
     if not (path_exists(spark, cand) and path_exists(spark, base)):
         return _one_row(spark, task_id, "missing")
     if task_id == "easy":
-        frames = [align.with_file_position(read_table_csv(spark, p).select("*", "_metadata")).drop("_metadata") for p in (base, cand)]
+        frames = [read_table_csv(spark, p, position="row_index") for p in (base, cand)]
         result = validate_table(*frames, match="row_index", by="position")
     elif task_id == "medium":
         result = validate_text(read_text(spark, base), read_text(spark, cand))
     else:
-        docs = [read_json_docs(spark, p).select(F.lit(0).alias("id"), "doc") for p in (base, cand)]
-        result = validate_json(*docs, "id")
-    return result.select(F.lit(task_id).alias("dataset"), "score", "status")
+        result = validate_json_files(spark, base, cand)
+    unread = unreadable(spark, base).unionAll(unreadable(spark, cand)).select(F.lit(None).alias("score"), F.lit(None).alias("status"), "bad")
+    both = result.select("score", "status", F.lit(False).alias("bad")).unionAll(unread)
+    judged = both.agg(F.bool_or("bad").alias("bad"), F.max("score").alias("score"), F.max("status").alias("status"))
+    return judged.select(
+        F.lit(task_id).alias("dataset"),
+        F.when(F.col("bad"), F.lit(FLOOR)).otherwise(F.col("score")).alias("score"),
+        F.when(F.col("bad"), F.lit("unreadable")).otherwise(F.col("status")).alias("status"),
+    )
 
 
 __all__ = [
     "CEILING", "FLOOR", "VALIDATORS", "register_validator", "score_of", "score_violations", "validate_files",
-    "validate_json", "validate_many", "validate_table", "validate_text",
+    "validate_json", "validate_json_files", "validate_many", "validate_table", "validate_text",
 ]

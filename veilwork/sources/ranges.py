@@ -55,17 +55,19 @@ def with_state(pieces: DataFrame, states: DataFrame) -> DataFrame:
     return joined.withColumn(columns[0], F.when(F.col("_known"), F.col(columns[0])).otherwise(lost)).drop("_known")
 
 
-def joined_parts(parts: DataFrame, separator: str, keep: list[str]) -> DataFrame:
+def joined_parts(parts: DataFrame, separator: str, first: list[str], last: list[str] = ()) -> DataFrame:
     """Whole items of (path, block, seq, begins, ends, text): items of one part as they are, others joined in order.
 
-    ``seq`` counts the items of a block.  ``keep`` are columns that the first part of an item carries.
+    ``seq`` counts the items of a block.  ``first`` are columns that the first part of an item carries, ``last``
+    such as only its last one has.  The last item of a file need not end.
     """
-    whole = parts.filter("begins and ends").select("path", "block", "seq", *keep, "text")
+    whole = parts.filter("begins and ends").select("path", "block", "seq", *first, *last, "text")
     loose = stored(parts.filter("not (begins and ends)"), "loose-parts")  # two of a block at most
     upto = W.partitionBy("path").orderBy("block", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = loose.select("path", "block", "seq", F.sum(F.col("begins").cast("long")).over(upto).alias("_item"))
     joined = loose.join(placed, ["path", "block", "seq"])
-    own = [F.min(F.when(F.col("begins"), F.col(c))).alias(c) for c in ("block", "seq", *keep)]
+    own = [F.min(F.when(F.col("begins"), F.col(c))).alias(c) for c in ("block", "seq", *first)]
+    own += [F.max(F.when(F.col("ends"), F.col(c))).alias(c) for c in last]
     inside = F.sort_array(F.collect_list(F.struct("block", "seq", "text")))
     text = F.array_join(F.transform(inside, lambda p: p["text"]), separator)
     return whole.unionByName(joined.groupBy("path", "_item").agg(*own, text.alias("text")).drop("_item"))

@@ -75,6 +75,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return pieces.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``(bad)``: are there bytes that are no UTF-8?
+
+    A line end is never part of a longer character, so a file is valid when each of its lines is, and files
+    of any size are judged line by line in splits.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.agg(F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("bad"))
+
+
 def read_json_docs(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Whole JSON files, one document each: ``(path, doc)``.
 
