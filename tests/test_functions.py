@@ -121,7 +121,7 @@ LINE_ENDS = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85",
 
 def test_lines_equal_python(spark):
     rng = random.Random(3)
-    pieces = [*LINE_ENDS, " ", "\t", chr(0xA0), chr(0x3000), "a", "[09:00:01] ann: hi", "[09:00:01]  x_1:", "[09:0:01] b:", chr(0x416), "[09:00:01]"]
+    pieces = [*LINE_ENDS, " ", "\t", chr(0xA0), chr(0x3000), "a", "[09:00:01] ann: hi", "[09:00:01]  x_1:", "[09:0:01] b:", chr(0x416), "[09:00:01]", "[\u0660\u0669:00:01] \u00e9ric_\u00bd:", "[09:00:01]\u2003Zo\u00eb:", "[09:00:01] e\u0301:"]
     values = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(800)] + ["", "a\n", "\n"]
     t = F.col("t")
     found = apply(spark, values, text.splitlines(t), text.count_lines(t), detect.count_formatted(t), text.strip(t))
@@ -129,7 +129,7 @@ def test_lines_equal_python(spark):
         kept = [line for line in value.splitlines() if line.strip()]
         assert lines == value.splitlines(), repr(value)
         assert n == len(kept) and stripped == value.strip(), repr(value)
-        assert formatted == sum(bool(re.match(rules.CHAT_LINE_PATTERN, line, re.ASCII)) for line in kept), repr(value)
+        assert formatted == sum(bool(re.match(rules.CHAT_LINE_PATTERN, line)) for line in kept), repr(value)
 
 
 def test_text_lines_drop_blanks(spark):
@@ -184,3 +184,8 @@ def test_flatten_observation(spark):
     cases = [f'{{"data": {{{inner}}}}}', f'{{"data": {{{inner}, "reward": null}}}}', f'{{"data": {{{inner}, "reward": 0.9, "done": true}}}}']
     got = apply(spark, cases, *replies.flatten_observation(F.col("t")))
     assert [(r[0], r[4], r[5]) for r in got] == [("o", False, 0.5), ("o", False, None), ("o", True, 0.9)]
+
+
+def test_a_token_rule_needs_probes():
+    with pytest.raises(ValueError, match="probes"):
+        rules.TokenRule("ticket", r"T-\d+", 0, ())

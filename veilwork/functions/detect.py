@@ -8,8 +8,8 @@ from operator import add, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import CARD_TABLE, CHAT_LINE_PATTERN, CORE, SSN, TOKENS, Rule, RuleSet, TokenRule
-from .text import count_line_starts
+from .rules import CARD_TABLE, CORE, SSN, TOKENS, Rule, RuleSet, TokenRule
+from .text import CHAT_START, CHAT_START_INLINE, count_line_starts
 
 
 def count_matches(c: Column, rule: Rule) -> Column:
@@ -62,10 +62,9 @@ def non_ssn_tokens(c: Column, tokens: tuple[TokenRule, ...] = TOKENS) -> Column:
 
 def line_format_ok(line: Column) -> Column:
     """Does one line follow the chat grammar?  For single lines only."""
-    return F.coalesce(line.rlike(CHAT_LINE_PATTERN), F.lit(False))
+    return F.coalesce(line.rlike(CHAT_START), F.lit(False))
 
 
 def count_formatted(c: Column) -> Column:
     """Number of lines of a text that follow the chat grammar; a single line counts as 0 or 1."""
-    within_line = CHAT_LINE_PATTERN.replace(r"\s+", r"[ \t]+")
-    return count_line_starts(c, r"\[", within_line.removeprefix(r"^\["))
+    return count_line_starts(c, r"\[", CHAT_START_INLINE)

@@ -96,6 +96,10 @@ class TokenRule:
     probes: tuple[Probe, ...]
     needs: str | None = None
 
+    def __post_init__(self) -> None:
+        if not self.probes:  # without them every such token would count as lost
+            raise ValueError(f"token rule {self.name!r} needs probes, the forms in which its tokens can occur in a text")
+
 
 @dataclass(frozen=True)
 class RuleSet:

@@ -25,7 +25,12 @@ _LINE = rf"(?:[!-~]|[^{_SPACES}])[^{_LINE_ENDS}]*+"
 TRUNCATION_MARK = "\n... [output truncated]"
 FLOOR, CEILING = 0.01, 0.99
 
-_CHAT_LINE = r"(?s)^\[(\d{2}:\d{2}:\d{2})\]\s+(\w+):\s?(.*)$"
+# The classes of the chat grammar over all of Unicode: digits, white space, white space within a line, word characters.
+_DIGIT, _SPACE, _INLINE, _WORD = r"\p{Nd}", r"[\s\x1c-\x1f\x85\p{Z}]", r"[ \t\x1f\p{Zs}]", r"[\p{L}\p{N}_]"
+_CLOCK = f"{_DIGIT}{{2}}:{_DIGIT}{{2}}:{_DIGIT}{{2}}"
+_CHAT_LINE = rf"(?s)^\[({_CLOCK})\]{_SPACE}+({_WORD}+):{_SPACE}?(.*)$"
+CHAT_START = rf"^\[{_CLOCK}\]{_SPACE}+{_WORD}+:"
+CHAT_START_INLINE = rf"{_CLOCK}\]{_INLINE}+{_WORD}+:"
 
 
 def strip(c: Column) -> Column:
@@ -58,11 +63,6 @@ def count_line_starts(c: Column, first: str, rest: str) -> Column:
     return F.coalesce(found, F.lit(0)).cast("long")
 
 
-def contains_token(text: Column, token: Column) -> Column:
-    """Plain substring test, not a word match."""
-    return F.contains(text, token)
-
-
 def safe_ratio(n: Column, d: Column, default: float = 1.0) -> Column:
     return F.when(d > 0, n.cast("double") / d.cast("double")).otherwise(F.lit(default))
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect, mask, replies, sqlfuncs, text
 from ..functions.opaque import mask_variant as mask_unknown
 from ..functions.rules import CORE, GENERIC_MASK, VARIANT
-from ..operators import aggregate, align, nested, rows, runs, windows
+from ..operators import aggregate, align, nested, ordered, rows, runs, windows
 from ..session import scratch_dir, spread, table, tune
-from ..sources import generate, readers, writers
+from ..sources import generate, json_ranges, readers, writers
 from ..streaming import streams
 from . import inputs, verify
 
@@ -649,6 +650,50 @@ def json_roundtrip(spark, sf):
     return nested.json_leaves(keyed, "customer", "doc").select("customer", "path", "value")
 
 
+def _as_lists(batches):
+    """Documents of a partition as the lines of one JSON list; a null ends it, whatever stands before."""
+    yield pd.DataFrame({"value": ["["]})
+    for rows in batches:
+        yield rows.assign(value=rows["value"] + ",")
+    yield pd.DataFrame({"value": ["null]"]})
+
+
+@query
+def json_file_leaves(spark, sf):
+    """The strings of documents that are elements of whole JSON files, which are read in byte ranges."""
+    path = scratch_dir(spark, "json-files")
+    docs = inputs.records(spark, sf)
+    docs.select(writers.json_text(docs, "doc").alias("value")).mapInPandas(_as_lists, "value string").write.text(path)
+    members, files = json_ranges.json_members(spark, path, 1)
+    good = members.join(files.filter("not malformed"), "path").filter(F.trim("value") != "null")
+    keyed = good.select(F.get_json_object("value", "$.customers[0].id").alias("customer"), "value")
+    return nested.json_leaves(keyed, "customer", "value").select("customer", "path", "value")
+
+
+@query
+def score_files(spark, sf):
+    """Folders of files against their baseline: a table and a text with line ends in cells, and one that is not there."""
+    base, work = scratch_dir(spark, "baseline"), scratch_dir(spark, "workspace")
+    columns = list(inputs.CUSTOMER_COLUMNS)
+    chat = _chat(spark, sf)
+    pairs = ((base, inputs.customers(spark, sf), chat), (work, inputs.masked_customers(inputs.customers(spark, sf)), inputs.masked_chat(chat)))
+    for folder, rows, lines in pairs:
+        placed = rows.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")
+        writers.write_csv(placed.withColumn("notes", F.concat("notes", F.lit('\n"seen", once'))).select(columns), f"{folder}/customers.csv")
+        writers.write_lines(lines, "line", f"{folder}/chat_logs.txt")
+    found = [verify.validate_files(spark, task, work, base) for task in ("easy", "medium", "hard")]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@query
+def sparse_positions(spark, sf):
+    """Place and running sum by hashed ids, over all rows and within a group."""
+    events = table(spark, sf, "events").select("event_id", "event_type", F.md5(F.col("event_id").cast("string")).alias("hashed"), (F.col("event_id") % 100).alias("points"))
+    placed = ordered.numbered(events, ["hashed"], name="place")
+    summed = ordered.running_sum(placed, ["hashed"], "points", name="total")
+    return ordered.running_sum(summed, ["hashed"], "points", ["event_type"], "type_total").drop("hashed", "points")
+
+
 @query
 def runlog_roundtrip(spark, sf):
     path = scratch_dir(spark, "runlog")
