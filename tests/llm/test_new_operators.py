@@ -292,3 +292,47 @@ def test_trie(spark, shape, monkeypatch):
 def test_trie_of_an_empty_table(spark):
     rows = prefix_trie.prefix_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert rows.collect() == []
+
+
+# ------------------------------------------------------------------ hashes of words and lines
+
+
+def thue_morse(k):
+    """Two different strings of 2**k letters whose difference vanishes in polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << k)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+def test_regular_words_have_different_hashes():
+    import numpy as np
+    import pyarrow as pa
+
+    from veilwork.llm import words
+
+    rng = random.Random(1)
+    texts = [t for k in range(4, 13) for t in thue_morse(k)] + [thue_morse(12)[0]]
+    texts += ["".join(rng.choices("ab", k=n)) for n in range(1, 700)] + ["a" * n for n in range(1, 700)] + ["a" * n + "b" for n in range(1, 700)]
+    for order in (texts, texts[::-1]):
+        seen = {}
+        for piece in words.pieces(pa.array(order)):
+            for text, h in zip(order[piece.rows], piece.hashes(piece.starts, piece.ends).tolist(), strict=True):
+                assert seen.setdefault(text, h) == h  # equal wherever they stand
+        assert len(set(seen.values())) == len(set(texts))
+    piece = next(words.pieces(pa.array(["x"])))
+    assert len(piece.hashes(np.array([0, 1]), np.array([0, 1]))) == 2  # empty spans, the last one at the end
+
+
+def test_regular_words_are_not_linked_or_repeated(spark):
+    from veilwork.llm import ngram_join, quality_rules
+
+    docs, lines = [], []
+    for k in range(8, 13):
+        one, other = thue_morse(k)
+        docs += [f"{one} b c d e", f"{other} b c d e"]
+        lines.append(f"{one}\n{other}\n{one}\n{one} {other} z {other} {one} z")
+    rows = [(i, t) for i, t in enumerate(docs)]
+    found = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(i, i) for i in range(len(docs))]
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    counted = quality_rules.score(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), labels)
+    assert [(r.n_dup_lines, r.n_repeat_words) for r in counted.collect()] == [(1, 0)] * len(lines)

@@ -8,6 +8,7 @@ text is never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +21,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[int, np.ndarray] = {}
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a lane
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+LONG = 512  # bytes from which a span is hashed by BLAKE2b
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, PIECE + 1), base, np.uint64)
-        known[0] = 1
-        _POWERS[base] = known = np.cumprod(known, dtype=np.uint64)
-    return known[:n]
+def _turned(x: np.ndarray) -> np.ndarray:
+    return x << np.uint64(29) | x >> np.uint64(35)
 
 
 @dataclass
@@ -67,11 +62,35 @@ class Piece:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans."""
-        n = len(self.data)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[self.data] * _powers(_BASE, n), dtype=np.uint64)))
-        back = _powers(_INVERSE, n + 1)
-        return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        """64-bit hashes of byte spans.
+
+        A span goes eight bytes at a time through two states that are mixed after each step, so that
+        no regular pattern cancels out; spans of up to eight bytes of one length never share a hash.
+        """
+        sizes = ends - starts
+        lanes = np.ndarray(len(self.data) + 1, np.uint64, self.padded(), strides=(1,))  # eight bytes from each place
+        rest = np.minimum(sizes, 8)
+        one = mix((lanes[starts] & _KEEP[rest]) + sizes.astype(np.uint64) * _FIRST)
+        at = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+        if len(at):
+            first, second, place, left = one[at], one[at] * _SECOND, starts[at] + 8, sizes[at] - 8
+            while len(at):
+                lane = lanes[place] & _KEEP[np.minimum(left, 8)]
+                first, second = mix(first ^ lane), mix(_turned(second) + lane * _FIRST)
+                done = left <= 8
+                if done.any():
+                    one[at[done]] = mix(first[done] + _turned(second[done]))
+                    at, first, second, place, left = (x[~done] for x in (at, first, second, place, left))
+                place, left = place + 8, left - 8
+        content = self.data
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            digest = hashlib.blake2b(content[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
+            one[k] = int.from_bytes(digest, "little")
+        return one
+
+    def padded(self) -> np.ndarray:
+        """The bytes with zeros behind them, so that eight bytes can be read from any place."""
+        return np.concatenate((self.data, np.zeros(8, np.uint8)))
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
