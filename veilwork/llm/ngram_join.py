@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bloom import build
 from .components import components
-from .shared import written
+from .shared import discard, written
 from .signature_tree import Tree, bitmap, links, possible_links, width_for
 from .words import grams, mix, pieces
 
@@ -291,32 +291,43 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(base.mapInArrow(lambda it: _signatures(it, n, percent), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signatures")
+    keys, signed = signed, written(signed.select("doc_id", "n", "h1", "h2", F.col("keys").isNotNull().alias("keyed")), "slim")
     classes = written(
         signed.filter("n > 0 and doc_id is not null")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("keys").isNotNull(), F.col("doc_id"))).alias("rep"), F.count(F.lit(1)).alias("copies")),
+        .agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("keyed"), F.col("doc_id"))).alias("rep"), F.count(F.lit(1)).alias("copies")),
         "classes",
     )
-    keyed = signed.filter("keys is not null and doc_id is not null")
+    keyed = keys.filter("keys is not null and doc_id is not null")
     total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
     repeated = spark.sparkContext.broadcast(build(keyed.select(F.explode("keys").alias("h")), total, repeated=True))
     met = written(keyed.select("doc_id", "keys").mapInArrow(lambda it: _shared_keys(it, repeated), "key long, doc long"), "met")
-    held = written(met.join(_groups(met), "key").select("key", "doc", "a", "c"), "held")
+    discard(keys)
+    groups = _groups(met)
+    held = written(met.join(groups, "key").select("key", "doc", "a", "c"), "held")
+    discard(met, groups)
     wide = held.filter(F.col("c") > KEY_SETS).select("a", F.col("doc").alias("b"))
     narrow = held.filter(F.col("c") <= KEY_SETS).select("key", "doc")
     ids = written(narrow.select("doc").distinct(), "ids")
     bits = written(pick(base, ids, "doc").dropDuplicates(["doc"]).mapInArrow(lambda it: _bitmaps(it, n), "doc long, n long, bits binary"), "bits")
     sorted_keys = narrow.join(bits, "doc").repartition("key").sortWithinPartitions("key", "doc")
-    trees = components(wide.unionByName(sorted_keys.mapInArrow(lambda it: _possible(it, percent), _LINKS)).distinct())
+    possible = written(wide.unionByName(sorted_keys.mapInArrow(lambda it: _possible(it, percent), _LINKS)).distinct(), "possible")
+    discard(held, bits, ids)
+    trees = components(possible)
+    discard(possible)
     reps = classes.select(F.col("rep").alias("doc"))
     placed = written(trees.select(F.col("id").alias("doc"), F.col("component").alias("tree")).join(reps, "doc", "left_semi"), "placed")
     shared = written(placed.groupBy("tree").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tree"), "shared")
-    placed = written(placed.join(shared, "tree", "left_semi"), "placed")
+    alone_too, placed = placed, written(placed.join(shared, "tree", "left_semi"), "placed")
+    discard(alone_too, shared, trees)
     members = written(
         pick(base, placed, "doc").dropDuplicates(["doc"]).mapInArrow(lambda it: _members(it, n), "tree long, doc long, n long, members binary"),
         "members",
     )
-    labels = components(_tree_links(members, percent))
+    found = _tree_links(members, percent)
+    discard(members, placed)
+    labels = components(found)
+    discard(found)
     known = written(classes.join(labels, classes["rep"] == labels["id"]).select("h1", "h2", "least", "component"), "known")
     smallest = written(known.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     linked = written(known.join(smallest, "component").select("h1", "h2", "component_id"), "linked")
