@@ -302,32 +302,32 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
     repeated = spark.sparkContext.broadcast(build(keyed.select(F.explode("keys").alias("h")), total, repeated=True))
     met = written(keyed.select("doc_id", "keys").mapInArrow(lambda it: _shared_keys(it, repeated), "key long, doc long"), "met")
-    discard(keys)
+    discard(keys, sweep=True)
     groups = _groups(met)
     held = written(met.join(groups, "key").select("key", "doc", "a", "c"), "held")
-    discard(met, groups)
+    discard(met, groups, sweep=True)
     wide = held.filter(F.col("c") > KEY_SETS).select("a", F.col("doc").alias("b"))
     narrow = held.filter(F.col("c") <= KEY_SETS).select("key", "doc")
     ids = written(narrow.select("doc").distinct(), "ids")
     bits = written(pick(base, ids, "doc").dropDuplicates(["doc"]).mapInArrow(lambda it: _bitmaps(it, n), "doc long, n long, bits binary"), "bits")
     sorted_keys = narrow.join(bits, "doc").repartition("key").sortWithinPartitions("key", "doc")
     possible = written(wide.unionByName(sorted_keys.mapInArrow(lambda it: _possible(it, percent), _LINKS)).distinct(), "possible")
-    discard(held, bits, ids)
+    discard(held, bits, ids, sweep=True)
     trees = components(possible)
-    discard(possible)
+    discard(possible, sweep=True)
     reps = classes.select(F.col("rep").alias("doc"))
     placed = written(trees.select(F.col("id").alias("doc"), F.col("component").alias("tree")).join(reps, "doc", "left_semi"), "placed")
     shared = written(placed.groupBy("tree").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tree"), "shared")
     alone_too, placed = placed, written(placed.join(shared, "tree", "left_semi"), "placed")
-    discard(alone_too, shared, trees)
+    discard(alone_too, shared, trees, sweep=True)
     members = written(
         pick(base, placed, "doc").dropDuplicates(["doc"]).mapInArrow(lambda it: _members(it, n), "tree long, doc long, n long, members binary"),
         "members",
     )
     found = _tree_links(members, percent)
-    discard(members, placed)
+    discard(members, placed, sweep=True)
     labels = components(found)
-    discard(found)
+    discard(found, sweep=True)
     known = written(classes.join(labels, classes["rep"] == labels["id"]).select("h1", "h2", "least", "component"), "known")
     smallest = written(known.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     linked = written(known.join(smallest, "component").select("h1", "h2", "component_id"), "linked")

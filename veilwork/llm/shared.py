@@ -25,15 +25,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, sweep: bool = False) -> None:
     """Remove tables of ``written`` that nothing still to be computed reads.
 
     Spark removes the shuffle files of finished queries when the driver has collected its objects as garbage,
-    which may be long after; it is asked to do so now.
+    which may be long after; with ``sweep``, after large shuffles, it is asked to do so now.
     """
     for table in tables:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    if tables:
+    if sweep:
         tables[0].sparkSession._jvm.System.gc()
