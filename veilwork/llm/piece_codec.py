@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -174,14 +175,14 @@ class Codec:
             return
         sizes = np.array([len(w) for w in plain])
         starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-        found = list(self.automaton.iter("\n".join(plain)))  # a line feed has no piece
-        ends = np.array([e for e, _ in found], np.int64) + 1
-        match = np.array([m for _, m in found], np.int64)
+        # a line feed has no piece; the matches go straight into one array, so that no object outlives its turn
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("\n".join(plain))), np.int64)
+        ends, match = found[::2] + 1, found[1::2]
         length, token = match >> 20, match & 0xFFFFF
-        word = np.searchsorted(starts, ends - 1, "right") - 1
+        word = np.repeat(np.arange(len(plain)), sizes + 1)[ends - 1]
         place = ends - starts[word]
         last = np.full((len(plain), LONG_WORD + 1), -1, np.int64)
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place.astype(np.int16), kind="stable")  # a radix sort
         borders = np.searchsorted(place[order], np.arange(1, LONG_WORD + 2))
         for p in range(1, LONG_WORD + 1):
             now = order[borders[p - 1] : borders[p]]
