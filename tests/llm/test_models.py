@@ -125,7 +125,7 @@ def test_text_view_counts_all(spark, monkeypatch):
     monkeypatch.setattr(cotraining, "MAX_FITTED", 5, raising=False)  # a bound on labels and pseudo-labels together, before
     docs = docs_of(spark, [f"sun w{i}" if i % 2 else f"rain w{i}" for i in range(40)] + [None])
     teach = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, class int")
-    ratios = cotraining._fit_text(docs, teach)
+    ratios = cotraining._fit_text(cotraining.features(docs, labels_of(spark)).join(teach, "doc_id"))
     assert (ratios > 0.01).sum() >= 20 and (ratios < -0.01).sum() >= 20  # each word of its own class has a say
 
 

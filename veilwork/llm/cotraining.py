@@ -11,13 +11,14 @@ calibrated (logistic regression on the held-out fifth, from a histogram) and the
 odds are added, less the prior's, to score every document; ``kept`` is a score of ``KEEP`` or more,
 which is low, so that a good document is rarely lost.
 
-The text view is fitted on all labelled and pseudo-labelled documents, which are joined to their
-classes by doc_id; the metadata view, the histograms and the scores cover all documents.  The
-weights of sources and languages, however many, stay a table; all else that comes to the driver
-has a fixed size.  The first round has labels
-only, the others exchange pseudo-labels.
-
-Null text counts as empty.  A null doc_id is scored but never trained on; null source or language is
+Texts are read once: each row keeps its words as packed 16-bit buckets beside its metadata, so that
+every fit and score follows from the row alone and no text is joined or moved in a round.  The text
+view is fitted on all labelled and pseudo-labelled documents; the metadata view, the histograms and
+the scores cover all documents.  The weights of sources and languages, however many, stay a table;
+all else that comes to the driver has a fixed size.  The first round has labels only, the others
+exchange pseudo-labels.
+
+Null text counts as empty.  A null doc_id is scored but never trains the text view; null source or language is
 a value of its own.  Repeated rows are scored alike.  With labels of one class only, or none, every
 score is the prior.  An empty table gives an empty result; other columns are ignored.
 """
@@ -53,9 +54,17 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def _layout(texts: pa.Array) -> pa.Array:
+def _bucket(piece) -> np.ndarray:
+    return (piece.hashes(piece.starts, piece.ends) >> np.uint64(64 - BITS)).astype(np.uint16)
+
+
+def _page(texts: pa.Array) -> pa.Array:
+    """The layout bands of each text and the buckets of its words, two bytes each."""
     out = [[np.zeros(0, np.int64)] for _ in _LAYOUT]
+    packs, counts = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
     for piece in pieces(texts):
+        packs.append(_bucket(piece))
+        counts.append(np.diff(piece.first))
         size = np.maximum(np.diff(piece.offsets), 1)
         words = np.maximum(np.diff(piece.first), 1)
         feeds = piece.per_text(piece.data == 10) + 1
@@ -63,14 +72,25 @@ def _layout(texts: pa.Array) -> pa.Array:
         bands = [np.log2(size), np.log2(feeds), np.log2(size / feeds), 2 * np.log2(size / words), *share]
         for column, band in zip(out, bands, strict=True):
             column.append(band.astype(np.int64))
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in out], names=list(_LAYOUT))
+    ends = 2 * np.cumsum(np.concatenate(counts))
+    packed = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.concatenate(packs))])
+    return pa.StructArray.from_arrays([*[pa.array(np.concatenate(c)) for c in out], packed.cast(pa.binary())], names=[*_LAYOUT, "words"])
+
+
+def _unpacked(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of the rows, and how many each row has."""
+    rows = words.cast(pa.large_binary())
+    ends = np.frombuffer(rows.buffers()[1], np.int64, len(rows) + 1, 8 * rows.offset)
+    data = rows.buffers()[2]
+    buckets = np.frombuffer(data, np.uint16, int(ends[-1] - ends[0]) // 2, int(ends[0])) if data and ends[-1] > ends[0] else np.zeros(0, np.uint16)
+    return buckets, np.diff(ends) // 2
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, label (1 good, 0 poor, null), part (whether it trains), and the metadata features."""
-    layout = F.arrow_udf(_layout, "struct<" + ", ".join(f"{c}: bigint" for c in _LAYOUT) + ">")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", layout(F.col("text").cast("string")).alias("layout"))
-    rows = rows.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(c) for c in ("source", "lang")], *[F.col(f"layout.{c}").cast("string").alias(c) for c in _LAYOUT])
+    """doc_id, label (1 good, 0 poor, null), trains, the metadata features, and the words' buckets."""
+    page = F.arrow_udf(_page, "struct<" + ", ".join(f"{c}: bigint" for c in _LAYOUT) + ", words: binary>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", page(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("layout"))
+    rows = rows.select("doc_id", "layout.words", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(c) for c in ("source", "lang")], *[F.col(f"layout.{c}").cast("string").alias(c) for c in _LAYOUT])
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     return rows.join(known, "doc_id", "left").withColumn("trains", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) > 0)
 
@@ -78,21 +98,17 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        kind = batch.column("class").to_numpy(zero_copy_only=False)
-        for piece in pieces(batch.column("text")):
-            of_word = kind[piece.rows][piece.text_of_word()]
-            bucket = (piece.hashes(piece.starts, piece.ends) >> np.uint64(64 - BITS)).astype(np.int64)
-            for k in (0, 1):
-                counts[k] += np.bincount(bucket[of_word == k], minlength=1 << BITS)
+        buckets, sizes = _unpacked(batch.column("words"))
+        of_word = np.repeat(batch.column("class").to_numpy(zero_copy_only=False), sizes)
+        for k in (0, 1):
+            counts[k] += np.bincount(buckets[of_word == k], minlength=1 << BITS)
     kind, bucket = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(bucket), pa.array(counts[kind, bucket])], names=["kind", "bucket", "words"])
 
 
-def _fit_text(docs: DataFrame, teach: DataFrame) -> np.ndarray:
-    """Log ratio of each word bucket, good to poor; ``teach`` holds doc_id and class."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    taught = base.join(written(teach.groupBy("doc_id").agg(F.max("class").alias("class")), "teach"), "doc_id").select("text", F.col("class").cast("int").alias("class"))
-    sums = taught.mapInArrow(_text_counts, "kind long, bucket long, words long")
+def _fit_text(taught: DataFrame) -> np.ndarray:
+    """Log ratio of each word bucket, good to poor; ``taught`` holds class and words."""
+    sums = taught.select(F.col("class").cast("int").alias("class"), "words").mapInArrow(_text_counts, "kind long, bucket long, words long")
     table = sums.groupBy("kind", "bucket").agg(F.sum("words").alias("words")).toPandas()
     counts = np.zeros((2, 1 << BITS))
     counts[table.kind, table.bucket] = table.words
@@ -103,18 +119,16 @@ def _fit_text(docs: DataFrame, teach: DataFrame) -> np.ndarray:
     return logs[1] - logs[0]
 
 
-def _text_scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def _with_text_odds(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """The rows with ``text_odds``, the mean log ratio of their words."""
+    shared = rows.sparkSession.sparkContext.broadcast(ratios)
 
-    def of(texts: pa.Array) -> pa.Array:
-        out = [np.zeros(0)]
-        for piece in pieces(texts):
-            bucket = (piece.hashes(piece.starts, piece.ends) >> np.uint64(64 - BITS)).astype(np.int64)
-            total = np.bincount(piece.text_of_word(), weights=shared.value[bucket], minlength=len(piece))
-            out.append(total / np.maximum(np.diff(piece.first), 1))
-        return pa.array(np.round(np.concatenate(out) * TEXT_SCALE, 9))
+    def of(words: pa.Array) -> pa.Array:
+        buckets, sizes = _unpacked(words)
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=shared.value[buckets], minlength=len(sizes))
+        return pa.array(np.round(total / np.maximum(sizes, 1) * TEXT_SCALE, 9))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(of, "double")(F.col("text").cast("string")).alias("text_odds"))
+    return rows.withColumn("text_odds", F.arrow_udf(of, "double")("words"))
 
 
 def _fit_meta(rows: DataFrame) -> DataFrame:
@@ -174,7 +188,7 @@ def train_and_score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
     own = F.when(F.col("label").isNotNull() & F.col("trains"), F.col("label"))
     free = F.col("label").isNull() & F.col("doc_id").isNotNull()
-    scored = table.withColumns({"text_odds": F.lit(0.0), "meta_odds": F.lit(0.0)})
+    by_text = by_page = table.withColumns({"text_odds": F.lit(0.0), "meta_odds": F.lit(0.0)})
     fit_text = (0.0, 0.0)
     fit_meta = (0.0, 0.0)
     for turn in range(rounds if both else 0):
@@ -183,15 +197,16 @@ def train_and_score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
             at = F.col(odds) * fit[0] + fit[1]
             return F.when(free & F.lit(turn > 0), F.when(at >= sure, 1).when(at <= -sure, 0))
 
-        teach_text = scored.withColumn("class", F.coalesce(own, verdict("meta_odds", fit_meta))).filter("class is not null and doc_id is not null")
-        ratios = _fit_text(docs, teach_text.select("doc_id", "class"))
-        teach_meta = scored.withColumn("class", F.coalesce(own, verdict("text_odds", fit_text))).filter("class is not null")
-        meta = _fit_meta(teach_meta)
-        odds = written(_text_scores(docs, ratios).filter("doc_id is not null").groupBy("doc_id").agg(F.max("text_odds").alias("text_odds")), "text-odds")
-        scored = _with_meta_odds(table.join(odds, "doc_id", "left").withColumn("text_odds", F.coalesce("text_odds", F.lit(0.0))), meta)
-        scored = written(scored, "scored")
-        held = scored.filter("label is not null and not trains")
-        fit_text, fit_meta = _calibrated(held, "text_odds"), _calibrated(held, "meta_odds")
+        teach_text = by_page.withColumn("class", F.coalesce(own, verdict("meta_odds", fit_meta)))
+        ratios = _fit_text(teach_text.filter("class is not null and doc_id is not null"))
+        teach_meta = by_text.withColumn("class", F.coalesce(own, verdict("text_odds", fit_text)))
+        meta = _fit_meta(teach_meta.filter("class is not null").select("class", *_META))
+        by_text, by_page = _with_text_odds(table, ratios), _with_meta_odds(table, meta)
+        held = "label is not null and not trains"
+        fit_text = _calibrated(by_text.filter(held), "text_odds")
+        fit_meta = _calibrated(by_page.filter(held), "meta_odds")
+    # the words go before the rows meet the weights of sources and languages
+    scored = _with_meta_odds(by_text.drop("words"), meta) if both else by_text
 
     def chance(odds: Column) -> Column:
         return F.round(1 / (1 + F.exp(-odds)), 6)
