@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -151,6 +152,28 @@ def test_viterbi_chunks(spark, monkeypatch):
     assert joined.tolist() == path.tolist()
 
 
+def test_chat_repeated_rows(spark):
+    rows = [("c", 0, "user", "A\nB")] * 2 + [("c", 1, "assistant", "ok")] + [("d", None, None, None)] * 2 + [(None, 0, "user", "x")]
+    conv = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id string, turn int, role string, text string, gold string")
+    lines = chat_format.transcripts(conv)
+    parsed = chat_format.parse(lines, chat_format.fit(lines)).orderBy("conv_id", "chunk", "place").collect()
+    assert [(r["conv_id"], r["said"]) for r in parsed] == [("c", s) for s in ("A", "B", "A", "B", "ok")] + [("d", "")] * 2
+    empty = chat_format.transcripts(conv.limit(0))
+    assert chat_format.render(chat_format.parse(empty, chat_format.fit(empty))).collect() == []
+
+
+def test_packed_words(spark):
+    batches = [pa.array(["b a b", "", "é  b\n"]), pa.array([], pa.string()), pa.array(["", ""])]
+    for texts in batches:
+        packed = cotraining._page(texts).field("words")
+        buckets, sizes = cotraining._unpacked(packed)
+        assert sizes.tolist() == [len(t.split()) for t in texts.to_pylist()] and len(buckets) == sizes.sum()
+    packed = cotraining._page(batches[0]).field("words")
+    buckets, sizes = cotraining._unpacked(packed.slice(2))
+    whole, _ = cotraining._unpacked(packed)
+    assert sizes.tolist() == [2] and buckets.tolist() == whole[3:].tolist() and whole[0] == whole[2] == whole[4]
+
+
 def test_chat(spark, sf):
     conv = spark.read.parquet(f"{sf}/conversations.parquet")
     lines = chat_format.transcripts(conv)

@@ -12,8 +12,8 @@ transcript are combined in order (max-plus), which fixes each chunk's entry and
 chunks are decoded apart.  Only these matrices, some 400 bytes a chunk, come together by transcript.
 
 Null text is one empty line, null turn sorts first, rows without conv_id are left out.  An unknown or
-null role trains nothing.  Equal (conv_id, turn) rows are ordered by role and text, equal rows are
-both kept.  An empty table gives an empty result; other columns are ignored.  Ties between paths go
+null role trains nothing.  Rows of one (conv_id, turn) are ordered by a hash of role and text; equal
+rows are all kept, one after the other.  An empty table gives an empty result; other columns are ignored.  Ties between paths go
 to the smaller state number.
 """
 
@@ -51,8 +51,10 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     mark = F.element_at(F.element_at(F.array(*[F.array(*[F.lit(m) for m in s]) for s in styles]), F.pmod(F.xxhash64("conv_id"), F.lit(len(styles))).cast("int") + 1), role + 1)
     shown = F.when(known & (F.pmod(F.xxhash64("conv_id", "turn", F.lit(3)), F.lit(4)) > 0), mark).otherwise("")
     rows = conversations.filter("conv_id is not null").select("conv_id", "turn", F.when(known, role).alias("gold"), F.concat(shown, F.coalesce("text", F.lit(""))).alias("text"))
-    # the order of rows that share a turn
-    rows = rows.withColumn("copy", F.xxhash64("gold", "text"))
+    # the order of rows that share a turn; equal rows are counted before they move, then numbered
+    same = rows.groupBy("conv_id", "turn", "gold", "text").agg(F.count(F.lit(1)).alias("n"))
+    rows = same.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    rows = rows.withColumn("copy", F.struct(F.xxhash64("gold", "text").alias("h"), "nth"))
     split = rows.select("conv_id", "turn", "copy", "gold", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return split.withColumn("opens", F.col("pos") == 0)
 

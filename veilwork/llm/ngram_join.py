@@ -362,9 +362,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that a Bloom filter of the dropped ids does not know pass straight through.
     """
+    gone, flag = "_lost", "_maybe"
+    while gone in docs.columns or flag in docs.columns:  # no column of the documents is touched
+        gone, flag = f"_{gone}", f"_{flag}"
     marked = near_copies(docs, n, percent)
-    lost = written(marked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")), "lost")
-    maybe = may_hold(lost, "_lost")
-    flagged = docs.withColumn("_maybe", maybe("doc_id"))
-    unsure = flagged.filter("_maybe").join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
-    return flagged.filter(~F.col("_maybe")).unionByName(unsure).drop("_maybe")
+    lost = written(marked.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)), "lost")
+    maybe = may_hold(lost, gone)
+    flagged = docs.withColumn(flag, maybe("doc_id"))
+    unsure = flagged.filter(F.col(flag)).join(lost, F.col("doc_id") == F.col(gone), "left_anti")
+    return flagged.filter(~F.col(flag)).unionByName(unsure).drop(flag)
