@@ -69,7 +69,7 @@ def test_ngram_join(spark, monkeypatch, blocks):
 
 def test_keep_one_and_empty(spark):
     texts = family(5, 3, 8)
-    docs = frame(spark, rows_of(texts))
+    docs = frame(spark, rows_of(texts)).selectExpr("*", "'m' as _maybe", "doc_id as _lost")
     kept = ngram_join.keep_one(docs, 5, 80)
     want = {i for i, (_, c) in brute_components(list(enumerate(texts)), 5, 80).items() if c == i}
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == want
