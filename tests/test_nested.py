@@ -146,3 +146,72 @@ def test_strategies_agree_and_ignore_partitions(spark, sf):
     ]
     first, *others = (sorted(map(str, r.collect())) for r in runs)
     assert all(other == first for other in others)
+
+
+ODD_JSON = [
+    '{"a":1.10,"b":1e400, "c" : "a@b.com"}',
+    '{"a":"x","a":"123-45-6789"}',
+    '"\\ud800"',
+    "[" * 1200 + '"a@b.com"' + "]" * 1200,
+    '{"say \\"hi\\" a@b.com":"\\"a@b.com\\" \\\\ \\n\\u00e9","p":"c:\\\\"}',
+    '{ "k" : ":a@b.com", "l":["",":", "x\\\\\\\\", {"m":"\\u0061@b.com \\/"}] }\n',
+    '["tab\\t/", -0, 1E5, NaN, true, null]',
+    "{}",
+    " [ ] ",
+    '"a@b.com"',
+    '{"a":01}', "[1,]", '"a\tb"', "", "{'a':1}", "[1] 2", "{a:1}", "[1]//c", "1,2", "1],[2", '1,"a":2', "[1", '["a":1]', '{"a"}', "{,}", "[}", '"', '"\\x"',
+]
+
+
+def masked_values(value):
+    if isinstance(value, str):
+        return value.replace("a@b.com", "[REDACTED_EMAIL]").replace("123-45-6789", "[REDACTED_SSN]")
+    if isinstance(value, list):
+        return [masked_values(v) for v in value]
+    return value if not isinstance(value, tuple) else tuple((k, masked_values(v)) for k, v in value)
+
+
+def read_whole(text, limit=10_000):
+    """Numbers as written, in bytes; objects as tuples of pairs."""
+    import sys
+
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit)
+    try:
+        return json.loads(text, parse_float=str.encode, parse_int=str.encode, parse_constant=str.encode, object_pairs_hook=tuple)
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def test_untyped_masking_keeps_the_rest_letter_for_letter(spark):
+    rng = random.Random(5)
+    texts = ODD_JSON + [json.dumps(made_json(rng), ensure_ascii=False) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, doc string")
+    got = [r.doc for r in mask_variant(frame, "doc").orderBy("id").collect()]
+    for text, out in zip(texts, got, strict=True):
+        if len(text) > 2000:
+            assert out == text.replace("a@b.com", "[REDACTED_EMAIL]")
+            continue
+        try:
+            value = read_whole(text)
+        except ValueError:
+            assert out is None, text
+            continue
+        if "@" not in text and "6789" not in text and "1111" not in text:
+            assert out == text
+        if "4111" not in text:
+            assert repr(read_whole(out)) == repr(masked_values(value)), text
+    assert got[0] == '{"a":1.10,"b":1e400, "c" : "[REDACTED_EMAIL]"}'
+    below = [r.doc for r in mask_variant(frame, "doc", only="c").orderBy("id").collect()]
+    assert below[0] == got[0] and below[4] == texts[4] and below[1] == texts[1]
+    assert [a is None for a in below] == [a is None for a in got]
+
+
+def test_untyped_masking_of_long_and_empty_input(spark):
+    from pyspark.sql import functions as F
+
+    big = spark.range(1).select(F.concat(F.lit('{"t":"a@b.com '), F.repeat(F.lit("x\\n "), 6_000_000), F.lit('"}')).alias("doc"))
+    out = mask_variant(big, "doc").select(F.length("doc").alias("n"), F.left("doc", F.lit(30)).alias("head")).first()
+    assert out.n == 24_000_000 + 16 + 9 and out.head.startswith('{"t":"[REDACTED_EMAIL] x\\n')
+    assert big.select(F.length(mask_json_text(F.col("doc")))).first()[0] == 24_000_000 + 16 + 9
+    assert mask_variant(big.limit(0), "doc").count() == 0

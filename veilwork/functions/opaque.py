@@ -1,21 +1,129 @@
-"""Masking of JSON documents whose shape is unknown and may differ from row to row."""
+"""Masking of JSON documents whose shape is unknown and may differ from row to row.
+
+A text is cut at its quotation marks: every second part is a string, and a string is a key when a colon
+follows it.  Only strings that are values and hold personal data change; all else (numbers, spaces, key order,
+repeated keys, escapes) stays as it is, letter for letter.  That takes SQL functions only, at any depth.
+Python sees those texts alone that Spark's parser turns down, since some are JSON all the same: very
+long or deep ones, or with repeated keys.
+"""
 
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Callable, Iterator
-from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mask import mask
 from .rules import CORE, RuleSet
 
+# stand for an escaped backslash and an escaped quotation mark; strings of JSON can't hold them as they are
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+_LEXEME = re.compile(
+    r"[ \t\n\r]*+(?:(?P<mark>[\[\]{},:])"
+    r'|(?P<text>"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'
+    r"|(?P<plain>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)|(?P<end>\Z))"
+)
+
+
+def value_strings(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """(start, end, key of the outermost object, as written) of each string of a JSON text that is a value.
+
+    Raises ``ValueError`` at the first place where the text is not JSON, as Python reads it.  An explicit
+    stack holds the open brackets, so depth is not bounded.
+    """
+    open_: list[str] = []
+    top: str | None = None
+    want, at = "value", 0  # value, first (value or end of list), key, first key, colon, next (comma or end)
+    while True:
+        found = _LEXEME.match(text, at)
+        if found is None:
+            raise ValueError(f"not JSON at {at}")
+        at, kind, lexeme = found.end(), found.lastgroup, found[found.lastgroup]
+        if kind == "end":
+            if open_ or want != "next":
+                raise ValueError("the text ends early")
+            return
+        if kind == "text" and want in ("key", "first key"):
+            if len(open_) == 1:
+                top = lexeme
+            want = "colon"
+        elif lexeme == ":" and want == "colon":
+            want = "value"
+        elif lexeme == "," and want == "next" and open_:
+            want = "key" if open_[-1] == "{" else "value"
+        elif lexeme in ("]", "}") and open_ and open_[-1] + lexeme in ("[]", "{}") and want in ("next", "first" if lexeme == "]" else "first key"):
+            open_.pop()
+            want = "next"
+        elif want in ("value", "first") and (kind != "mark" or lexeme in ("[", "{")):
+            if kind == "mark":
+                open_.append(lexeme)
+                want = "first" if lexeme == "[" else "first key"
+            else:
+                if kind == "text":
+                    yield found.start("text"), at, top if open_ and open_[0] == "{" else None
+                want = "next"
+        else:
+            raise ValueError(f"not JSON at {found.start(kind)}")
+
+
+def _readable(texts: pa.Array) -> pa.Array:
+    def one(text: str | None) -> bool | None:
+        try:
+            return None if text is None else all(True for _ in value_strings(text))
+        except ValueError:
+            return False
+
+    return pa.array([one(t) for t in texts.to_pylist()], pa.bool_())
+
+
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON document; NULL for NULL.
+
+    Spark's parser ignores what follows a document.  Between brackets and between braces at once, nothing can follow it.
+    """
+    ends = (("[", "]"), ('{"":', "}"))
+    first, second = (F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull() for a, b in ends)
+    parsed = first & second
+    return F.when(parsed, True).otherwise(F.arrow_udf(_readable, "boolean")(F.when(~parsed, c)))
+
+
+def _shut(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def _opened(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
+def _masked_string(part: Column, rules: RuleSet) -> Column:
+    """The inside of one string, masked; the same letters where there is nothing to mask."""
+    read = F.from_json(F.concat(F.lit('["'), _opened(part), F.lit('"]')), "array<string>", {"maxStringLen": str(2**31 - 1)})
+    plain = F.coalesce(F.get(read, F.lit(0)), part)
+    masked = mask(plain, rules)
+    again = F.to_json(F.array(masked))
+    again = _shut(F.substr(again, F.lit(3), F.length(again) - 4))
+    escaped = part.contains("\\") | part.contains(_BACKSLASH) | part.contains(_QUOTE)
+    return F.when(~escaped, mask(part, rules)).when(masked == plain, part).otherwise(again)
+
+
+def mask_strings(c: Column, rules: RuleSet = CORE) -> Column:
+    """Every string value of a JSON text masked; the text must be JSON.
+
+    Half a surrogate pair, in a string that has something to mask, becomes ``?``.
+    """
+    parts = F.split(_shut(c), '"')
+    following = F.concat(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")))
+    pairs = F.zip_with(parts, following, lambda part, after: F.struct(part.alias("part"), after.rlike(r"^[ \t\r\n]*:").alias("is_key")))
+    done = F.transform(pairs, lambda p, i: F.when((i % 2 == 0) | p["is_key"], p["part"]).otherwise(_masked_string(p["part"], rules)))
+    return _opened(F.array_join(done, '"'))
+
 
 def _masker(rules: RuleSet) -> Callable[[str], str]:
-    steps = [(re.compile(r.pattern), r.mask) for r in rules]
+    steps = [(re.compile(r.pattern, 0 if r.unicode else re.ASCII), r.mask) for r in rules]
 
     def apply(text: str) -> str:
         for pattern, token in steps:
@@ -25,43 +133,36 @@ def _masker(rules: RuleSet) -> Callable[[str], str]:
     return apply
 
 
-def _rewrite(value: Any, fn: Callable[[str], str]) -> Any:
-    if isinstance(value, str):
-        return fn(value)
-    if isinstance(value, list):
-        return [_rewrite(v, fn) for v in value]
-    if isinstance(value, dict):
-        return {k: _rewrite(v, fn) for k, v in value.items()}
-    return value
-
-
-def mask_variant(df: DataFrame, column: str, rules: RuleSet = CORE, only: str | None = None) -> DataFrame:
-    """Mask every string value of a column of JSON text or variants; NULL where malformed.
-
-    Spark cannot rebuild a document of unknown shape from its parts, so this is the one
-    masking function that runs in Python, on Arrow batches.  All columns of ``df`` pass
-    through it: select the ones that are needed first.  ``only`` restricts the masking to
-    one top-level key.  Use ``mask_struct`` wherever there is a schema.
-    """
+def _below(key: str, rules: RuleSet) -> Callable[[pa.Array], pa.Array]:
+    fn = _masker(rules)
 
-    def one(text: str | None, fn: Callable[[str], str]) -> str | None:
+    def one(text: str | None) -> str | None:
         if text is None:
             return None
+        out, done = [], 0
         try:
-            value = json.loads(text)
+            for start, end, top in value_strings(text):
+                if top is not None and json.loads(top) == key:
+                    plain = json.loads(text[start:end])
+                    masked = fn(plain)
+                    if masked != plain:
+                        fresh = json.dumps(masked, ensure_ascii=any("\ud800" <= x <= "\udfff" for x in masked))
+                        out += [text[done:start], fresh]
+                        done = end
         except ValueError:
             return None
-        if only is None:
-            value = _rewrite(value, fn)
-        elif isinstance(value, dict) and only in value:
-            value[only] = _rewrite(value[only], fn)
-        return json.dumps(value, ensure_ascii=False)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _masker(rules)
-        for rows in batches:
-            rows[column] = [one(text, fn) for text in rows[column]]
-            yield rows
-
-    as_text = df.withColumn(column, F.col(column).cast("string"))
-    return as_text.mapInPandas(run, as_text.schema)
+        return "".join([*out, text[done:]])
+
+    return lambda texts: pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+
+def mask_variant(df: DataFrame, column: str, rules: RuleSet = CORE, only: str | None = None) -> DataFrame:
+    """Mask every string value of a column of JSON text or variants; NULL where malformed.
+
+    ``only`` restricts the masking to what is below one key of the outermost object; that needs the depth of each
+    string and runs in Python, on Arrow batches of this column.  Variants have lost the spelling of their numbers
+    before they come here.  Use ``mask_struct`` wherever there is a schema.
+    """
+    text = F.col(f"`{column}`").cast("string")
+    masked = F.when(is_json(text), mask_strings(text, rules)) if only is None else F.arrow_udf(_below(only, rules), "string")(text)
+    return df.withColumn(column, masked)
