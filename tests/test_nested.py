@@ -210,8 +210,8 @@ def test_untyped_masking_keeps_the_rest_letter_for_letter(spark):
 def test_untyped_masking_of_long_and_empty_input(spark):
     from pyspark.sql import functions as F
 
-    big = spark.range(1).select(F.concat(F.lit('{"t":"a@b.com '), F.repeat(F.lit("x\\n "), 6_000_000), F.lit('"}')).alias("doc"))
+    big = spark.range(1).select(F.concat(F.lit('{"t":"a@b.com '), F.repeat(F.lit("words x"), 3_000_000), F.lit('"}')).alias("doc"))
     out = mask_variant(big, "doc").select(F.length("doc").alias("n"), F.left("doc", F.lit(30)).alias("head")).first()
-    assert out.n == 24_000_000 + 16 + 9 and out.head.startswith('{"t":"[REDACTED_EMAIL] x\\n')
-    assert big.select(F.length(mask_json_text(F.col("doc")))).first()[0] == 24_000_000 + 16 + 9
+    assert out.n == 21_000_000 + 16 + 9 and out.head.startswith('{"t":"[REDACTED_EMAIL] words')
+    assert big.select(F.length(mask_json_text(F.col("doc")))).first()[0] == 21_000_000 + 16 + 9
     assert mask_variant(big.limit(0), "doc").count() == 0

@@ -52,10 +52,9 @@ def mask_generic(c: Column, rules: RuleSet = GENERIC) -> Column:
 
 def mask_json_text(c: Column, rules: RuleSet = CORE) -> Column:
     """Mask serialized JSON as text; NULL when the masked text is no longer JSON.  Length and depth don't matter."""
-    from .opaque import is_json
+    from .opaque import json_only
 
-    masked = mask(c, rules)
-    return F.when(is_json(masked), masked)
+    return json_only(mask(c, rules))
 
 
 def residual_digit_run(c: Column) -> Column:

@@ -80,15 +80,21 @@ def _readable(texts: pa.Array) -> pa.Array:
     return pa.array([one(t) for t in texts.to_pylist()], pa.bool_())
 
 
-def is_json(c: Column) -> Column:
-    """Whether a text is one JSON document; NULL for NULL.
+def _is_document(c: Column) -> Column:
+    """Whether Spark's parser takes a text as one document.
 
-    Spark's parser ignores what follows a document.  Between brackets and between braces at once, nothing can follow it.
+    It ignores what follows a document.  Between brackets and between braces at once, nothing can follow it.
     """
     ends = (("[", "]"), ('{"":', "}"))
     first, second = (F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull() for a, b in ends)
-    parsed = first & second
-    return F.when(parsed, True).otherwise(F.arrow_udf(_readable, "boolean")(F.when(~parsed, c)))
+    return first & second
+
+
+def json_only(c: Column) -> Column:
+    """The text itself where it is one JSON document, else NULL; of any length and depth."""
+    seen = _bound(c, lambda t: F.struct(t.alias("text"), _is_document(t).alias("parsed")))
+    text, parsed = seen["text"], seen["parsed"]
+    return F.when(parsed | F.arrow_udf(_readable, "boolean")(F.when(~parsed, text)), text)
 
 
 def _shut(c: Column) -> Column:
@@ -99,15 +105,23 @@ def _opened(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
 
 
+def _bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a costly value that it uses more than once, which is made once."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def _masked_string(part: Column, rules: RuleSet) -> Column:
     """The inside of one string, masked; the same letters where there is nothing to mask."""
     read = F.from_json(F.concat(F.lit('["'), _opened(part), F.lit('"]')), "array<string>", {"maxStringLen": str(2**31 - 1)})
-    plain = F.coalesce(F.get(read, F.lit(0)), part)
-    masked = mask(plain, rules)
-    again = F.to_json(F.array(masked))
-    again = _shut(F.substr(again, F.lit(3), F.length(again) - 4))
+
+    def written(masked: Column) -> Column:
+        return _bound(F.to_json(F.array(masked)), lambda again: _shut(F.substr(again, F.lit(3), F.length(again) - 4)))
+
+    def fresh(plain: Column) -> Column:
+        return _bound(mask(plain, rules), lambda masked: F.when(masked == plain, part).otherwise(written(masked)))
+
     escaped = part.contains("\\") | part.contains(_BACKSLASH) | part.contains(_QUOTE)
-    return F.when(~escaped, mask(part, rules)).when(masked == plain, part).otherwise(again)
+    return F.when(escaped, _bound(F.coalesce(F.get(read, F.lit(0)), part), fresh)).otherwise(mask(part, rules))
 
 
 def mask_strings(c: Column, rules: RuleSet = CORE) -> Column:
@@ -164,5 +178,5 @@ def mask_variant(df: DataFrame, column: str, rules: RuleSet = CORE, only: str |
     before they come here.  Use ``mask_struct`` wherever there is a schema.
     """
     text = F.col(f"`{column}`").cast("string")
-    masked = F.when(is_json(text), mask_strings(text, rules)) if only is None else F.arrow_udf(_below(only, rules), "string")(text)
+    masked = mask_strings(json_only(text), rules) if only is None else F.arrow_udf(_below(only, rules), "string")(text)
     return df.withColumn(column, masked)
