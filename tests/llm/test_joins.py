@@ -177,3 +177,17 @@ def test_simhash(spark):
         own = [hashes[w] for w in t.split()]
         want = sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in own) > len(own))
         assert got[t] & ((1 << 64) - 1) == want
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    text = "a line that comes again\n--\nanother line"
+    docs = frame(spark, [(1, text, "s", "t"), (1, text, "s", "t"), (1, "another line", "s", "u"), (2, text, "s", "t"), (None, text, "s", "t"), (None, text, "s", "t"), (3, None, "s", "t"), (3, "", "s", "t")])
+    occ = line_dedup.occurrences(docs).collect()
+    assert len(occ) == 7 and sum(r["kept"] for r in occ) == 2  # of each line one occurrence stays
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["dropped"]) for r in line_dedup.dropped(docs).collect())
+    assert len(got) == 8 and [x for x in got if x[0] in (0, 3)] == [(0, 0, 0, []), (0, 0, 0, []), (3, 0, 0, []), (3, 0, 0, [])]
+    assert sum(x[2] for x in got) == 5 and (2, 2, 2, [0, 2]) in got
+    cleaned = line_dedup.clean(docs)
+    assert cleaned.columns == docs.columns and cleaned.count() == 8
+    left = [r["text"] for r in cleaned.filter("doc_id in (1, 2)").collect()]
+    assert sum(t.count("again") for t in left) == 1 and sum(t.count("another") for t in left) == 1 and sum(t.count("--") for t in left) == 3
