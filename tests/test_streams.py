@@ -113,3 +113,19 @@ def test_arrivals_lose_nothing(spark, tmp_path):
     assert sorted(r.id for r in streams.drain(stream, "test").collect() if r.id is not None) == list(range(3000))
     empty = streams.arrivals(rows.limit(0), "ts", "test")
     assert streams.drain(empty, "test").filter("id is not null").count() == 0
+
+
+def test_a_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
+    """A table in several files was not found, as only names of files were matched."""
+    rows = spark.range(40).selectExpr("id as doc_id", "concat('a', id, '@example.org') as text")
+    rows.repartition(4).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.limit(1).write.parquet(str(tmp_path / "many" / "other.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "single" / "documents.parquet")
+    for folder in ("many", "single"):
+        for name in ("documents.parquet", "doc*.parquet"):
+            masked = streams.mask_stream(streams.stream_table(spark, str(tmp_path / folder), name, 2), "text")
+            out = streams.drain(masked, "test").collect()
+            assert sorted(r.doc_id for r in out) == list(range(40)), (folder, name)
+            assert not [r for r in out if "example" in r.text]

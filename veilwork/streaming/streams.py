@@ -19,14 +19,15 @@ from ..session import scratch_dir
 
 
 def stream_table(spark: SparkSession, folder: str, files: str, files_per_batch: int = 64) -> DataFrame:
-    """Parquet files of a folder whose names match ``files``, those that arrive later included."""
-    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """Parquet tables of a folder whose names match ``files``, rows that arrive later included.
+
+    A table is one file or a folder of files.  The name is given as a pattern even where it is none, as
+    Spark streams from a file only when a pattern finds it.
+    """
+    pattern = files if set("*?[{\\") & set(files) else f"[{files[0]}]{files[1:]}"
+    path = f"{folder}/{pattern}"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def mask_stream(stream: DataFrame, column: str, rules: RuleSet = CORE) -> DataFrame:
