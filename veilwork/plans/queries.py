@@ -13,7 +13,7 @@ from ..functions import detect, mask, replies, sqlfuncs, text
 from ..functions.opaque import mask_variant as mask_unknown
 from ..functions.rules import CORE, GENERIC_MASK, VARIANT
 from ..operators import aggregate, align, nested, ordered, rows, runs, windows
-from ..session import scratch_dir, spread, table, tune
+from ..session import dealt, scratch_dir, spread, table, tune
 from ..sources import generate, json_ranges, readers, writers
 from ..streaming import streams
 from . import inputs, verify
@@ -379,7 +379,7 @@ def explode_records(spark, sf):
 
 
 def _record_pair(spark, sf):
-    base = inputs.records(spark, sf)
+    base = inputs.records(spark, sf, dealt)
     return base, inputs.masked_records(base)
 
 
@@ -586,7 +586,8 @@ def gen_records(spark, sf):
 
 @query
 def gen_records_check(spark, sf):
-    made = generate.gen_records(_customer_keys(spark, sf), "c_custkey", SEED)
+    keys = dealt(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    made = generate.gen_records(keys, "c_custkey", SEED)
     masked = mask.mask_struct(made, "record")
     return verify.validate_json(made, masked, "id", "record")
 
