@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -61,9 +61,13 @@ def leak_counts_stream(
 
 
 STEP_SCHEMA = (
-    "episode_id long, at timestamp, event_id long, max_steps int, reward double, "
+    "episode_id long, at long, event_id long, max_steps int, reward double, "
     "step int, done boolean, last_reward double"
 )
+EPISODE_STATE = (
+    "taken int, done boolean, last double, upto long, "
+    "at array<long>, event_id array<long>, max_steps array<int>, reward array<double>"
+)
 _INPUT = ["episode_id", "at", "event_id", "max_steps", "reward"]
 _ORDER = ["at", "event_id"]
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,10 +87,10 @@ def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class EpisodeSteps(StatefulProcessor):
     """Numbers an episode's steps in order of time, whatever the order in which they arrive.
 
-    ``waiting`` holds the steps that later arrivals could still precede; of those only as many as the
-    episode has steps left.  A timer at the earliest of them fires when the watermark has passed it: what the
-    watermark has passed is in its final order and is put out.  ``known`` holds the number of steps so far, whether the episode is
-    over, the last reward, and the time of the last step; ``idle`` after that time both states go.
+    An episode is one value, read and written once a call: the number of steps so far, whether it is over, the last
+    reward, the time of the last step, and the steps that wait, as later arrivals could still precede them; of those
+    only as many as the episode has steps left.  A timer at the earliest of them fires when the watermark has passed
+    it: what the watermark has passed is in its final order and is put out.  ``idle`` after the last step the value goes.
     """
 
     def __init__(self, idle_us: int):
@@ -94,70 +98,60 @@ class EpisodeSteps(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "taken int, done boolean, last double, upto long")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, max_steps int, reward double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        taken, done, _, upto = self._known()
-        if upto is not None and upto + self.idle_us <= timerValues.getCurrentWatermarkInMs() * 1000 and not self.waiting.exists():
-            self.known.clear()  # its timer fires with this batch
-            taken, done = 0, False
+        self.episode = handle.getValueState("episode", EPISODE_STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        taken, done, last, upto, held = self._known()
+        if upto is not None and upto + self.idle_us <= timerValues.getCurrentWatermarkInMs() * 1000 and not held:
+            self.episode.clear()  # its timer fires with this batch
+            taken, done, last, upto = 0, False, None, None
         if not done and key[0] is not None:
-            held = [tuple(r) for r in self.waiting.get()]
             before = {r[:2] for r in held[:1]}
-            for part in rows:
-                times = part["at"].astype("int64") // _per_us(part["at"])
-                rewards = (None if pd.isna(r) else float(r) for r in part["reward"])
-                held += zip(times.tolist(), part["event_id"].tolist(), part["max_steps"].tolist(), rewards, strict=True)
-                # of equal rows all are steps, as in a table
-                held.sort(key=lambda r: r[:2])
-                held = [r for k, r in enumerate(held) if taken + k < r[2]]
+            held += [(r["micros"], r["event_id"], r["max_steps"], r["reward"]) for r in rows]
+            # of equal rows all are steps, as in a table
+            held.sort(key=lambda r: r[:2])
+            held = [r for k, r in enumerate(held) if taken + k < r[2]]
             if held:
-                self.waiting.put(held)
+                self._keep(taken, done, last, upto, held)
                 if held[0][:2] not in before:
                     self._wake(held[0][0])
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        taken, done, last, upto = self._known()
-        held = [] if done else [tuple(r) for r in self.waiting.get()]
+        taken, done, last, upto, held = self._known()
+        held = [] if done else held
         out = []
         while held and held[0][0] <= passed and not done:
             at, event_id, max_steps, reward = held.pop(0)
             taken, upto = taken + 1, at
             last = last if reward is None else reward
             done = taken >= max_steps or (reward is not None and reward >= FINAL_REWARD)
-            out.append((*key, pd.Timestamp(at, unit="us"), event_id, max_steps, reward, taken, done, last))
-        if out:
-            self.known.update((taken, done, last, upto))
-        if done or not held:
-            self.waiting.clear()
-            if upto is not None and upto + self.idle_us <= passed:
-                self.known.clear()
-            elif out:
-                self._wake(upto + self.idle_us)
+            out.append(Row(episode_id=key[0], at=at, event_id=event_id, max_steps=max_steps, reward=reward, step=taken, done=done, last_reward=last))
+        held = [] if done else held
+        if not held and upto is not None and upto + self.idle_us <= passed:
+            self.episode.clear()
         elif out:
-            self.waiting.put(held)
-            self._wake(held[0][0])
-        if out:
-            yield pd.DataFrame(out, columns=[*_INPUT, "step", "done", "last_reward"]).astype({"last_reward": "float64", "reward": "float64"})
+            self._keep(taken, done, last, upto, held)
+            self._wake(held[0][0] if held else upto + self.idle_us)
+        return iter(out)
 
     def close(self) -> None:
         pass
 
     def _known(self) -> tuple:
-        return tuple(self.known.get()) if self.known.exists() else (0, False, None, None)
+        value = self.episode.get()
+        if value is None:
+            return 0, False, None, None, []
+        return (*value[:4], list(zip(*value[4:], strict=True)))
+
+    def _keep(self, taken: int, done: bool, last: float | None, upto: int | None, held: list[tuple]) -> None:
+        self.episode.update((taken, done, last, upto, *([r[k] for r in held] for k in range(4))))
 
     def _wake(self, at: int) -> None:
         self.handle.registerTimer(-(-at // 1000))
 
 
-def _per_us(times: pd.Series) -> int:
-    """How many units of a time column make a microsecond."""
-    return {"ns": 1000, "us": 1}[times.dt.unit]
-
-
 def episode_stream(stream: DataFrame, delay: str = "1 hour", idle: timedelta = timedelta(days=30)) -> DataFrame:
     """Accepted steps of each episode, with ``step``, ``done`` and ``last_reward``, in order of ``at`` and ``event_id``.
 
@@ -166,7 +160,7 @@ def episode_stream(stream: DataFrame, delay: str = "1 hour", idle: timedelta = t
     that much, has passed it.  Rows that arrive behind the watermark are left out and counted
     (``late_rows``).  Rows without an episode, such as heartbeats, only move the watermark.
 
-    An episode's state is at most ``max_steps`` waiting steps and four values.  It goes when the watermark has passed
+    An episode's state is one value: at most ``max_steps`` waiting steps and four numbers.  It goes when the watermark has passed
     the last step by ``idle``, finished or not.  Ids are meant to be used once: rows of an id that arrive after that
     begin a new episode.
 
@@ -176,12 +170,15 @@ def episode_stream(stream: DataFrame, delay: str = "1 hour", idle: timedelta = t
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     cut = stream.select(*_INPUT).mapInPandas(_cut_batches, stream.select(*_INPUT).schema)
-    return cut.withWatermark("at", delay).groupBy("episode_id").transformWithStateInPandas(
+    timed = cut.withWatermark("at", delay).withColumn("micros", F.unix_micros(F.col("at").cast("timestamp")))
+    # rows rather than a pandas frame per episode and batch: an episode has few rows, and a frame costs more than they do
+    steps = timed.groupBy("episode_id").transformWithState(
         EpisodeSteps(idle // timedelta(microseconds=1)),
         outputStructType=STEP_SCHEMA,
         outputMode="Append",
         timeMode="eventTime",
     )
+    return steps.withColumn("at", F.timestamp_micros("at"))
 
 
 def late_rows(query: StreamingQuery) -> int:
