@@ -92,7 +92,8 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", page(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("layout"))
     rows = rows.select("doc_id", "layout.words", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(c) for c in ("source", "lang")], *[F.col(f"layout.{c}").cast("string").alias(c) for c in _LAYOUT])
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    return rows.join(known, "doc_id", "left").withColumn("trains", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) > 0)
+    # never broadcast: labels grow with the documents, and a plan that changes with their size has no steady disk use
+    return rows.join(known.hint("merge"), "doc_id", "left").withColumn("trains", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) > 0)
 
 
 def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
