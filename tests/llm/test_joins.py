@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from veilwork.llm import exact_dedup, line_dedup, ngram_join
@@ -191,3 +192,31 @@ def test_line_dedup_of_repeated_rows(spark):
     assert cleaned.columns == docs.columns and cleaned.count() == 8
     left = [r["text"] for r in cleaned.filter("doc_id in (1, 2)").collect()]
     assert sum(t.count("again") for t in left) == 1 and sum(t.count("another") for t in left) == 1 and sum(t.count("--") for t in left) == 3
+
+
+def test_batches_of_the_near_copies_are_small(spark):
+    from veilwork.llm.shared import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.range(0, 2500, 1, 1)
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    def sizes():
+        return [r.n for r in docs.mapInArrow(counted, "n long").collect()]
+
+    with small_batches(spark):
+        assert max(sizes()) == 1000
+    assert spark.conf.get(name) == before and max(sizes()) == 2500
+
+
+def test_labels_are_not_broadcast(spark):
+    """Their join changed its form with their size, from which disk seemed to grow faster than the input."""
+    from veilwork.llm.cotraining import features
+
+    docs = spark.createDataFrame([(1, "a b", "s", "en"), (2, None, "s", None)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    plan = features(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

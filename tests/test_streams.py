@@ -129,3 +129,12 @@ def test_a_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
             out = streams.drain(masked, "test").collect()
             assert sorted(r.doc_id for r in out) == list(range(40)), (folder, name)
             assert not [r for r in out if "example" in r.text]
+
+
+def test_rows_without_an_episode_leave_the_others_alone(spark, tmp_path):
+    """Ids that came in a batch with a null were read as floats, and their steps went to one episode without an id."""
+    rows = [(e, 10 * m + e, 100 * e + m, 15, None if m == 2 else 0.1) for e in range(1, 6) for m in range(4)]
+    nulls = [(None, m, 900 + m, 15, 0.1) for m in range(30)]
+    mixed = [r for pair in zip(rows, nulls, strict=False) for r in pair]
+    found, _ = streams.drained(streams.episode_stream(arriving(spark, tmp_path, mixed, beat(FAR))), "test")
+    assert shown(found) == {(e, 100 * e + m): (m + 1, False, 0.1) for e in range(1, 6) for m in range(4)}
