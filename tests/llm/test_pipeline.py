@@ -62,3 +62,20 @@ def test_stages(spark, tmp_path):
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), where).count() == 0, name
+
+
+def test_each_stage_bounds_its_batches(spark, monkeypatch):
+    """However a stage is called, and whatever was set before, texts go to Python about a megabyte at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for module, call in ((corpus_pipeline.quality_rules, "reject"), (corpus_pipeline.exact_dedup, "dedup"), (corpus_pipeline.ngram_join, "keep_one"), (corpus_pipeline.mixing, "sample"), (corpus_pipeline.piece_codec, "code")):
+        monkeypatch.setattr(module, call, lambda docs, *_, **__: docs)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    docs = spark.range(1).selectExpr("id as doc_id", "'s' as source", "named_struct('n_tokens', 1, 'ids', 1, 'ids_sha256', 1, 'decoded_sha256', 1) as _piece_code")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "64m")
+            stage(spark, docs, "")
+            assert int(spark.conf.get(name).rstrip("b")) == 1 << 20
+    finally:
+        spark.conf.set(name, before)
