@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, exact dedup, near copies, mixing, encoding.
 
 Every stage works on all rows its predecessor kept; the documents between two stages are a
-Parquet table in the shared folder.  Texts go to Python in batches of about a megabyte, so that neither the
+Parquet table in the shared folder.  Texts go to Python in batches of a few megabytes, so that neither the
 JVM nor its workers hold many at a time.  All stages but the last return the columns of documents.
 A document without usable text fails the quality rules; empty tables pass through as such.
 """

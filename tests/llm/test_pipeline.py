@@ -65,7 +65,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_each_stage_bounds_its_batches(spark, monkeypatch):
-    """However a stage is called, and whatever was set before, texts go to Python about a megabyte at a time."""
+    """However a stage is called, and whatever was set before, texts go to Python a few megabytes at a time."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     for module, call in ((corpus_pipeline.quality_rules, "reject"), (corpus_pipeline.exact_dedup, "dedup"), (corpus_pipeline.ngram_join, "keep_one"), (corpus_pipeline.mixing, "sample"), (corpus_pipeline.piece_codec, "code")):
@@ -76,6 +76,6 @@ def test_each_stage_bounds_its_batches(spark, monkeypatch):
         for _, stage in corpus_pipeline.STAGES:
             spark.conf.set(name, "64m")
             stage(spark, docs, "")
-            assert int(spark.conf.get(name).rstrip("b")) == 1 << 20
+            assert int(spark.conf.get(name).rstrip("b")) == 4 << 20
     finally:
         spark.conf.set(name, before)
