@@ -95,6 +95,12 @@ def test_exact_dedup(spark):
     assert exact_dedup.dedup(docs.limit(0)).count() == 0 and exact_dedup.mark_copies(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_takes_one_python_step_a_task(spark):
+    plan = exact_dedup.dedup(frame(spark, rows_of(["one", "two"])))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") + plan.count("SortAggregate") >= 1
+    assert plan.count("EvalPython [") == 2  # the surely single rows, and the rest
+
+
 def words_of(line):
     return re.sub(r"[\W_]+", " ", line.lower()).strip()
 

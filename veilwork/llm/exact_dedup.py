@@ -2,7 +2,7 @@
 
 Texts are equal when they are identical after lower-casing A-Z.  The first pass hashes every
 text and fills two Bloom filters: a hash that the first already holds goes into the second.
-The second pass asks the second filter about each row.  Rows it does not know are surely unique
+The second pass asks the second filter about each row, in the step that hashes its text.  Rows it does not know are surely unique
 and pass straight through, without a shuffle; the rest, possibly repeated, shuffle by the full
 SHA-256 digest, which decides.
 
@@ -21,22 +21,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType
 
 from .bloom import build
 from .shared import written
 from .words import text_bytes
 
 
-@F.arrow_udf(BinaryType())
-def _digest(texts: pa.Array) -> pa.Array:
+def _digests(texts: pa.Array) -> pa.Array:
     data, offsets = text_bytes(texts)
     content, borders = memoryview(data), offsets.tolist()
     return pa.array([hashlib.sha256(bytes(content[a:b]).lower()).digest() for a, b in zip(borders, borders[1:])], pa.binary())  # noqa: B905
 
 
+_digest = F.arrow_udf(_digests, BinaryType())
+
+
 def digest(text: Column | str) -> Column:
     """SHA-256 of the normalised text in UTF-8; ``bytes.lower`` touches A-Z only."""
     return _digest(F.col(text) if isinstance(text, str) else text)
@@ -71,14 +74,40 @@ def mark_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _heads(digests: pa.Array) -> np.ndarray:
+    """The first eight bytes of each digest."""
+    return np.frombuffer(b"".join(d[:8] for d in digests.to_pylist()), np.uint64)
+
+
+@F.arrow_udf(LongType())
+def _head(texts: pa.Array) -> pa.Array:
+    return pa.array(_heads(_digests(texts)).view(np.int64))
+
+
+def repeated_digest(docs: DataFrame, text: str = "text"):
+    """A UDF on the text: its digest where the text may occur twice, else null.
+
+    Digest and filter are one Python step: each step of a task holds a worker of its own.  A UDF that counts as
+    deterministic would be computed again for every filter on it.
+    """
+    table = written(docs.select(_head(F.col(text)).alias("_dedup_head")), "heads")
+    shared = docs.sparkSession.sparkContext.broadcast(build(table, table.count(), repeated=True))
+
+    @F.arrow_udf(BinaryType())
+    def maybe(texts: pa.Array) -> pa.Array:
+        digests = _digests(texts)
+        return pc.if_else(pa.array(shared.value.test(_heads(digests))), digests, pa.scalar(None, pa.binary()))
+
+    return maybe.asNondeterministic()
+
+
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all its columns."""
     columns = docs.columns
-    table = written(docs.select(digest(text).alias("_dedup_digest")), "digests")
-    flagged = docs.withColumn("_dedup_digest", digest(text)).withColumn("_dedup_maybe", possibly_repeated(table))
-    single = flagged.filter(~F.col("_dedup_maybe")).select(*columns)
+    flagged = docs.withColumn("_dedup_digest", repeated_digest(docs, text)(F.col(text)))
+    single = flagged.filter("_dedup_digest is null").select(*columns)
     order = F.struct(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
     whole = F.struct(*[F.col(f"`{c}`") for c in columns])
     # partial maxima: a task sends one row of a group, however many copies it holds
-    best = flagged.filter("_dedup_maybe").groupBy("_dedup_digest").agg(F.max_by(whole, order).alias("_dedup_row"))
+    best = flagged.filter("_dedup_digest is not null").groupBy("_dedup_digest").agg(F.max_by(whole, order).alias("_dedup_row"))
     return single.unionByName(best.select("_dedup_row.*"))
