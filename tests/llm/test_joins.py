@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from veilwork.llm import exact_dedup, line_dedup, ngram_join
+from veilwork.llm import bloom, exact_dedup, line_dedup, ngram_join
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -101,6 +102,19 @@ def test_exact_dedup_takes_one_python_step_a_task(spark):
     assert plan.count("EvalPython [") == 2  # the surely single rows, and the rest
 
 
+def test_bloom_filters_send_four_bytes_a_hash():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 64, 200_000, dtype=np.uint64)
+    bits = bloom.filter_bits(len(h))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["h"]) for x in (h, h[:500])]
+    sent = [b for x in batches for b in bloom._packed(iter([x]), bits)]
+    assert sum(len(x) for b in sent for c in ("once", "again") for x in b.column(c).to_pylist()) == 4 * 200_500
+    for repeated, known in ((False, h), (True, h[:500])):
+        made = bloom.Filter(bits, {r["segment"]: r["bits"] for b in bloom._filled(iter(sent), repeated) for r in b.to_pylist()})
+        assert made.test(known).all()
+        assert made.test(rng.integers(0, 1 << 64, 100_000, dtype=np.uint64)).mean() < 0.01
+
+
 def words_of(line):
     return re.sub(r"[\W_]+", " ", line.lower()).strip()
 

@@ -1,8 +1,8 @@
 """Bloom filters of 64-bit hashes, built in segments by Spark tasks.
 
 A filter has a power of two of bits, cut into segments of ``SEGMENT_BITS``; a hash picks its
-segment by its top bits and three bits in it by its low 51 bits.  Tasks send the distinct
-hashes of each segment, packed, to the one task that fills the segment's bits; no rows move and
+segment by its top bits and three bits in it by its low 32 bits.  Tasks send those of the distinct
+hashes of each segment, packed, four bytes each, to the one task that fills the segment's bits; no rows move and
 a frequent hash is sent once a task.  Only the finished bits come to the driver and are broadcast,
 at most ``MAX_BITS`` (32 MB) of them.  A corpus that would need more bits gets a fuller filter:
 more hashes then pass it, none is missed.
@@ -20,6 +20,7 @@ SEGMENT_BITS = 1 << 17
 MAX_BITS = 1 << 28
 BITS_PER_HASH = 16
 _FLUSH = 1 << 20
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def filter_bits(n_hashes: int) -> int:
@@ -33,9 +34,9 @@ def _segment(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - top)).astype(np.int64) if top else np.zeros(len(h), np.int64)
 
 
-def _probes(h: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64(SEGMENT_BITS - 1)
-    return [((h >> np.uint64(17 * k)) & mask).astype(np.int64) for k in range(3)]
+def _probes(low: np.ndarray) -> list[np.ndarray]:
+    """Places in a segment from the low 32 bits of hashes: both ends of them, and a product's upper end."""
+    return [(x & np.uint32(SEGMENT_BITS - 1)).astype(np.int64) for x in (low, low >> np.uint32(15), low * np.uint32(0x9E3779B1) >> np.uint32(15))]
 
 
 class Filter:
@@ -52,7 +53,7 @@ class Filter:
         """Whether each hash may be in the filter; never false for one that is."""
         base = _segment(h, self.bits) * SEGMENT_BITS
         out = np.ones(len(h), bool)
-        for p in _probes(h):
+        for p in _probes(h.astype(np.uint32)):
             at = base + p
             out &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
@@ -63,10 +64,11 @@ def _packed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     held = 0
 
     def flush() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(kept), return_counts=True)
-        segment = _segment(values, bits)
-        cuts = np.flatnonzero(np.diff(segment, prepend=-1))  # sorted by the top bits
-        rows = [(int(segment[a]), values[a:b], values[a:b][counts[a:b] > 1]) for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True)]
+        h = np.concatenate(kept)
+        values, counts = np.unique(_segment(h, bits).astype(np.uint64) << np.uint64(32) | h & _LOW, return_counts=True)
+        segment, low = (values >> np.uint64(32)).astype(np.int64), values.astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(segment, prepend=-1))
+        rows = [(int(segment[a]), low[a:b], low[a:b][counts[a:b] > 1]) for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True)]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
             names=["segment", "once", "again"],
@@ -88,20 +90,20 @@ def _filled(batches: Iterator[pa.RecordBatch], repeated: bool) -> Iterator[pa.Re
     once: dict[int, np.ndarray] = {}
     twice: dict[int, np.ndarray] = {}
 
-    def put(bits: np.ndarray, h: np.ndarray) -> None:
-        for p in _probes(h):
+    def put(bits: np.ndarray, low: np.ndarray) -> None:
+        for p in _probes(low):
             bits[p] = True
 
     for batch in batches:
         for segment, new, again in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            h = np.frombuffer(new, np.uint64)
+            low = np.frombuffer(new, np.uint32)
             seen = once.setdefault(segment, np.zeros(SEGMENT_BITS, bool))
             if repeated:
-                a, b, c = _probes(h)
-                found = np.concatenate((h[seen[a] & seen[b] & seen[c]], np.frombuffer(again, np.uint64)))
+                a, b, c = _probes(low)
+                found = np.concatenate((low[seen[a] & seen[b] & seen[c]], np.frombuffer(again, np.uint32)))
                 if len(found):
                     put(twice.setdefault(segment, np.zeros(SEGMENT_BITS, bool)), found)
-            put(seen, h)
+            put(seen, low)
     done = twice if repeated else once
     for segment, bits in done.items():
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
