@@ -218,6 +218,26 @@ def test_failures_at_run_time_are_isolated(spark):
     assert out == {"good": (0.99, "ok"), "fails": (0.01, "error"), "cast": (0.01, "error"), "last": (0.99, "ok")}
 
 
+@pytest.mark.parametrize("failure", ["run", "plan"])
+def test_a_failure_is_no_count_of_violations(spark, monkeypatch, failure):
+    from veilwork.plans import queries
+
+    rows = table_of(spark, customers(4)).withColumn("g", F.lit(1))
+    docs = spark.createDataFrame([(1, ("x",))], "id int, doc struct<a:string>")
+    chat = spark.createDataFrame([(1, "[09:00:00] a: b")], "user_id int, line string")
+    monkeypatch.setattr(queries, "_customer_pair", lambda *_: (rows.withColumnRenamed("g", "c_nationkey"),) * 2)
+    monkeypatch.setattr(queries, "_record_pair", lambda *_: (docs, docs))
+    monkeypatch.setattr(queries, "_chat", lambda *_: chat)
+    monkeypatch.setattr(queries.inputs, "masked_chat", lambda df: df)
+    assert [tuple(r) for r in queries.QUERIES["score_violations"](spark, "").collect()] == [(0,)]
+    no_block = lambda df: df.withColumn("line", F.raise_error(F.lit("no such block")).cast("string"))
+    monkeypatch.setattr(queries.inputs, "masked_chat", no_block if failure == "run" else lambda df: df.drop("line"))
+    with pytest.raises(Exception, match="no such block" if failure == "run" else "line"):
+        queries.QUERIES["score_violations"](spark, "").collect()
+    status = {r.dataset: r.status for r in queries.QUERIES["validate_many"](spark, "").collect()}
+    assert status == {"customers": "ok", "chat": "error", "records": "ok", "broken": "error"}
+
+
 @pytest.mark.parametrize("strategy", ["documents", "leaves"])
 def test_repeated_keys_and_no_key_in_json(spark, strategy):
     shape = "id int, doc struct<a:string,b:string>"

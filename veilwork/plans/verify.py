@@ -423,11 +423,12 @@ def _one_row(spark: SparkSession, dataset: str, status: str) -> DataFrame:
     )
 
 
-def validate_many(spark: SparkSession, jobs: dict[str, tuple[str, tuple, dict]]) -> DataFrame:
+def validate_many(spark: SparkSession, jobs: dict[str, tuple[str, tuple, dict]], isolate: bool = True) -> DataFrame:
     """Run ``{dataset: (validator name, arguments, options)}`` and stack ``(dataset, ..., score, status)``.
 
     Each dataset is run on its own and its few result rows are written; one that cannot be planned (missing column,
-    unknown validator) or that fails while it runs takes the lowest score and leaves the others alone.
+    unknown validator) or that fails while it runs takes the lowest score and leaves the others alone.  Without
+    ``isolate`` only an unknown validator does; any other failure is raised, as its dataset has no scores.
     """
     parts = []
     for dataset, (name, args, options) in jobs.items():
@@ -437,6 +438,8 @@ def validate_many(spark: SparkSession, jobs: dict[str, tuple[str, tuple, dict]])
             label = F.col(group).cast("string") if group else F.lit(None).cast("string")
             parts.append(stored(result.select(F.lit(dataset).alias("dataset"), label.alias("key"), "score", "status"), "scores"))
         except (PySparkException, Py4JJavaError, KeyError, ValueError, TypeError):
+            if name in VALIDATORS and not isolate:
+                raise
             row = _one_row(spark, dataset, "error")
             parts.append(row.select("dataset", F.lit(None).cast("string").alias("key"), "score", "status"))
     return reduce(DataFrame.unionAll, parts)
