@@ -152,6 +152,21 @@ def test_simhash_links_connect_what_brute_force_connects(spark, crowd):
     assert found == connected(signed, [(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % 2**64).bit_count() <= 4])
 
 
+def test_simhash_keys_are_not_broadcast(spark, monkeypatch):
+    """They are 35 rows a fingerprint, which Spark sizes as one."""
+    plans = {}
+
+    def kept(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", kept)
+    links = simhash.links(written(spark.createDataFrame([(1,), (3,), (1 << 40,), (-1,)], "fp long"), "prints"), crowd=2)
+    assert (1, 3) in {tuple(sorted(r)) for r in links.collect()}
+    assert plans["simhash-keys"] and not any("Broadcast" in p for p in plans["simhash-keys"])
+
+
 def test_simhash_empty_table(spark):
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

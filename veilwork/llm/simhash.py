@@ -161,7 +161,8 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crowd:
     spent: list[DataFrame] = []
     while True:
         ends = keys.groupBy("m", "v").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-        met = written(keys.join(ends.drop("high"), ["m", "v"]), "simhash-keys")
+        # both sides have a row for each mask; Spark sizes them as the fingerprints they come from, and would broadcast one
+        met = written(keys.join(ends.drop("high").hint("merge"), ["m", "v"]), "simhash-keys")
         star = met.filter((F.col("low") != F.col("fp")) & _near(radius)).select(F.col("low").alias("a"), F.col("fp").alias("b"))
         star = star if found is None else found.unionByName(star)
         star = written(star.distinct(), "simhash-star")
