@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,61 @@ def test_line_links_brute_force(spark):
     assert len(brute) > 40 and parts(got) == parts(brute)
 
 
+def test_line_links_in_passes(spark, monkeypatch):
+    """The rows of segments and substrings are on disk for a few lengths and places at a time; no link is lost."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    lines = []
+    for size in (9, 10, 14, 21, 33, 50, 75, 110, 170, 700):
+        base = "".join(rng.choice("abcdefgh") for _ in range(size))
+        lines.append(base)
+        for share in (0.05, 0.1, 0.13):
+            own = list(base)
+            for _ in range(int(share * size)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+            lines.append("".join(own))
+        lines += [base[: size // 2] + "z" * (size // 10) + base[size // 2 :], base[size // 10 :], base[: size - size // 10]]
+        lines.append("".join("ö" if k % 10 == 9 else c for k, c in enumerate(base)))  # edits as even as can be
+    monkeypatch.setattr(line_dedup, "_near", lambda texts: line_dedup.written(texts.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0), "near"))
+    monkeypatch.setattr(line_dedup, "FAMILY", 0)
+    monkeypatch.setattr(line_dedup, "PASS_ROWS", 2500)
+    written, mixed = line_dedup.written, []
+
+    def seen(df, label):
+        table = written(df, label)
+        if label == "mixed":
+            assert sum(Path(t.scratch_path.removeprefix("file:")).is_dir() for t in mixed) <= 1
+            mixed.append(table)
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    table = line_dedup.lines(frame(spark, rows_of(lines)))
+    got = {tuple(sorted(x)) for x in line_dedup.links(table).collect()}
+    texts = {r["h"]: r["norm"] for r in table.collect()}
+    pairs = spark.createDataFrame([(a, b, texts[a], texts[b]) for a in texts for b in texts if a < b], "a long, b long, l string, r string")
+    brute = {tuple(x) for x in pairs.filter("levenshtein(l, r) <= cast(0.1 * greatest(length(l), length(r)) as int)").select("a", "b").collect()}
+
+    def root(up, x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    def connected(links):
+        up = {}
+        for a, b in links:
+            up[root(up, a)] = root(up, b)
+        return {frozenset(y for y in up if root(up, y) == root(up, x)) for x in list(up)}
+
+    assert got <= brute and len(brute) > 60 and connected(got) == connected(brute)
+    assert len(mixed) > 3
+    whole = spark.createDataFrame([(h, len(n), h, n) for h, n in texts.items()], "h long, size int, part long, norm string")
+    passes = line_dedup._passes(whole)
+    each = [line_dedup._substrings(whole, first, last) for first, last in passes]
+    assert sum(d.count() for d in each) == line_dedup._substrings(whole, 0, 16 * 200).count() > 2 * max(d.count() for d in each)
+
+
 def test_simhash(spark):
     from pyspark.sql import functions as F
 
